@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op7_decontaminate
 from .langid import op10_langid
 from .quality import op9_quality
 from .simhash import op5_simhash
@@ -14,6 +15,7 @@ from .simhash import op5_simhash
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_simhash": op5_simhash,
+        "op7_decontaminate": op7_decontaminate,
         "op9_quality": op9_quality,
         "op10_langid": op10_langid,
     }
