@@ -163,6 +163,9 @@ def matches(lines: list[bytes], index: Index) -> list[tuple[int, int, int, int,
             best[i, item] = (0, at, at + len(p))
             continue
         low = band * (k + 1) - k  # a path may leave the band of its q-grams by its edits
+        region = text[max(0, low) : max(0, low + 4 * k + 1 + len(p))]
+        if np.isin(_grams(p, index.q), _grams(region, index.q)).sum() < index.needed[item]:  # the same count, but of the item's places rather than of pairs
+            continue
         if found := align(p, text, low, low + 4 * k + 1, k):
             start, end, edits = found
             best[i, item] = min(best.get((i, item), (edits, start, end)), (edits, start, end))
