@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op7_decontaminate
 from .langid import op10_langid
+from .piece_model import op4_sentencepiece
 from .pii import op6_pii
 from .quality import op9_quality
 from .simhash import op5_simhash
@@ -15,6 +16,7 @@ from .simhash import op5_simhash
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_simhash": op5_simhash,
         "op6_pii": op6_pii,
         "op7_decontaminate": op7_decontaminate,
