@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op7_decontaminate
+from .embedding_join import op1_embeddings
 from .langid import op10_langid
 from .piece_model import op4_sentencepiece
 from .pii import op6_pii
@@ -16,6 +17,7 @@ from .simhash import op5_simhash
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embeddings": op1_embeddings,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_simhash": op5_simhash,
         "op6_pii": op6_pii,
