@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op7_decontaminate
 from .embedding_join import op1_embeddings
 from .langid import op10_langid
+from .paragraphs import op8_paragraphs
 from .piece_model import op4_sentencepiece
 from .pii import op6_pii
 from .quality import op9_quality
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op6_pii": op6_pii,
         "op7_decontaminate": op7_decontaminate,
+        "op8_paragraphs": op8_paragraphs,
         "op9_quality": op9_quality,
         "op10_langid": op10_langid,
     }
