@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op7_decontaminate
 from .embedding_join import op1_embeddings
+from .html_text import op2_html
 from .langid import op10_langid
 from .paragraphs import op8_paragraphs
 from .piece_model import op4_sentencepiece
@@ -19,6 +20,7 @@ from .simhash import op5_simhash
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embeddings": op1_embeddings,
+        "op2_html": op2_html,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_simhash": op5_simhash,
         "op6_pii": op6_pii,
