@@ -13,6 +13,7 @@ from .langid import op10_langid
 from .paragraphs import op8_paragraphs
 from .piece_model import op4_sentencepiece
 from .pii import op6_pii
+from .ppm import op3_ppm
 from .quality import op9_quality
 from .simhash import op5_simhash
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embeddings": op1_embeddings,
         "op2_html": op2_html,
+        "op3_ppm": op3_ppm,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_simhash": op5_simhash,
         "op6_pii": op6_pii,
