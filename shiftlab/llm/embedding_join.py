@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from .common import cut, forest
 from .components import connected_components
 
-COSINE, BLOCK, GRID, CHUNK, ROWS = 0.95, 8, 3, 4096, 512
-#: Added to budgets, far above rounding and far below what would let in many more candidates.
-SLACK = 1e-9
+COSINE, BLOCK, GRID, CHUNK, ROWS = 0.95, 8, 3, 8192, 256
+#: Added to budgets, in double and in single precision: far above rounding and far below what would let in many more candidates.
+SLACK, ROUGH = 1e-9, 1e-5
 _WIDTH = 1 << 10  # cells in each dimension of the grid, more than a unit vector can reach
 
 
@@ -98,43 +98,44 @@ def _linked(table: pa.Table, cosine: float, kind: str) -> pa.Table:
     """(id, links, root) of the vectors of one cell, or of two chunks of one, that are linked there."""
     empty = pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
     first, second, cell = table.column("i")[0].as_py(), table.column("j")[0].as_py(), table.column("cell")[0].as_py()
-    order = np.argsort(table.column("id").to_numpy(), kind="stable")
-    ids, n, home, chunk = (table.column(c).to_numpy()[order] for c in ("id", "n", "home", "chunk"))
+    ids, n, home, chunk = (table.column(c).to_numpy() for c in ("id", "n", "home", "chunk"))
     if len(ids) < 2 or not home.any():
         return empty
-    vecs = table.column("vec").to_pylist()
-    x = np.frombuffer(b"".join([vecs[k] for k in order]), dtype=kind).reshape(len(ids), -1)
+    x = np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype=kind).reshape(len(ids), -1)
     y, block = rotated(x), cell >> 32
-    part = np.ascontiguousarray(y[:, block * BLOCK : (block + 1) * BLOCK])
-    squares, budget, blocks = (part * part).sum(axis=1), _budget(y.shape[1], cosine), y.shape[1] // BLOCK
-    x = x.astype(np.float64)
+    along = y[:, block * BLOCK + GRID]  # in order of the next dimension, partners aren't farther off than the reach
+    order = np.argsort(along, kind="stable")
+    ids, n, home, chunk, x, y, along = ids[order], n[order], home[order], chunk[order], x[order].astype(np.float64), y[order], along[order]
+    part, budget, blocks = y[:, block * BLOCK : (block + 1) * BLOCK].astype(np.float32), _budget(y.shape[1], cosine), y.shape[1] // BLOCK
+    squares, one = (part * part).sum(axis=1, keepdims=True), np.ones((len(part), 1), np.float32)
+    left, right = np.hstack([part * np.float32(-2), squares, one]), np.ascontiguousarray(np.hstack([part, one, squares]).T)
     norms = np.sqrt((x * x).sum(axis=1))
+    stops = np.searchsorted(along, along + np.sqrt(budget) + SLACK, "right")
     links, ends = np.zeros(len(ids), np.int64), []
     for k in range(0, len(ids), ROWS):
-        rows = slice(k, k + ROWS)
-        near = squares[rows, None] + squares[None, k:] - 2 * part[rows] @ part[k:].T <= budget + SLACK
-        near &= home[rows, None] | home[None, k:]
-        if first != second:
-            near &= chunk[rows, None] != chunk[None, k:]
-        a, b = np.nonzero(near)
+        stop = int(stops[min(k + ROWS, len(ids)) - 1])
+        a, b = np.divmod(np.flatnonzero(left[k : k + ROWS] @ right[:, k:stop] <= np.float32(budget + ROUGH)), stop - k)
         a, b = a[b > a] + k, b[b > a] + k
+        apart = (home[a] | home[b]) & (True if first == second else chunk[a] != chunk[b])
+        a, b = a[apart], b[apart]
         for m in range(0, len(a), 1 << 15):
             p, q = a[m : m + (1 << 15)], b[m : m + (1 << 15)]
-            apart = ((y[p] - y[q]) ** 2).reshape(len(p), blocks, BLOCK).sum(axis=2) <= budget
-            mine = apart[:, block] & ~apart[:, :block].any(axis=1)
+            near = ((y[p] - y[q]) ** 2).reshape(len(p), blocks, BLOCK).sum(axis=2) <= budget
+            mine = near[:, block] & ~near[:, :block].any(axis=1)
             p, q = p[mine], q[mine]
             close = np.einsum("ij,ij->i", x[p], x[q]) / (norms[p] * norms[q]) >= cosine
             p, q = p[close], q[close]
             np.add.at(links, p, n[q])
             np.add.at(links, q, n[p])
             if len(p):
-                ends.append(forest(p, q))
-    root = np.arange(len(ids))
+                ends.append(forest(ids[p], ids[q]))
+    root = ids.copy()
     if ends:
         node, up = forest(*(np.concatenate(e) for e in zip(*ends, strict=True)))
-        root[node] = up
+        at = np.argsort(ids)
+        root[at[np.searchsorted(ids[at], node)]] = up
     found = links > 0
-    return pa.table({"id": ids[found], "links": links[found], "root": ids[root[found]]})
+    return pa.table({"id": ids[found], "links": links[found], "root": root[found]})
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, chunk: int = CHUNK) -> DataFrame:
