@@ -7,7 +7,7 @@ passage of 50 words holds several anchors, the same ones in all documents; a run
 one at its start and one at every `MIN_WORDS` further.
 
 Lines get MinHash signatures over shingles of five words, in `BANDS` bands of `BAND_ROWS`: of two lines with
-a Jaccard similarity of 0.8 all but 0.02 % collide in a band. Colliding lines are verified by
+a Jaccard similarity of 0.8 all but 0.08 % collide in a band. Colliding lines are verified by
 their exact Jaccard similarity, and clustered by connected components of the verified links. Windows must be equal, so that
 their hash is their cluster. Of each cluster the first place (by doc_id, then by word) stays.
 
@@ -25,10 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, id_text, texts, written
+from .common import cut, documents, forest, id_text, texts, written
 from .components import connected_components
 
-SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 16, 4
+SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 10, 3
 MIN_WORDS, AROUND = 24, 3
 CHUNK = 2048
 _RNG = np.random.default_rng(42)
@@ -46,7 +46,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _hashes(text: bytes) -> np.ndarray:
     words = text.lower().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return _mix(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
 
 
 def _rolled(h: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -54,7 +54,7 @@ def _rolled(h: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarr
     at = np.arange(max(0, len(h) - width + 1)) if at is None else at
     out = np.full(len(at), width, np.uint64)
     for k in range(width):
-        out += _mix(h[at + k] * _PLACE[k])
+        out += h[at + k] * _PLACE[k]
     return _mix(out)
 
 
@@ -96,16 +96,18 @@ def _bands(h: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return out
 
 
+_BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
+_UNITS = "doc_id long, start int, end int, hash long, " + ", ".join(f"{c} long" for c in _BAND_COLUMNS)
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, end, hash, bands) of the paragraphs; bands are null for windows."""
+    """(doc_id, start, end, hash, bands) of the paragraphs; the bands are null for windows."""
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        ids, starts, ends, hashes = (np.concatenate(x) for x in zip(*(r[:4] for r in rows)))
-        bands = [x for r in rows for x in (r[4] if r[4] is not None else [None] * len(r[0]))]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
-            names=["doc_id", "start", "end", "hash", "bands"],
-        )
+        ids, starts, ends, hashes, bands = (np.concatenate(x) for x in zip(*rows, strict=True))
+        none = bands[:, 0] == 0
+        columns = [pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64))]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(bands[:, i].view(np.int64), mask=none) for i in range(BANDS))], names=["doc_id", "start", "end", "hash", *_BAND_COLUMNS])
 
     for b in batches:
         rows, held = [], 0
@@ -114,11 +116,11 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(h) < MIN_WORDS:
                 continue
             at = anchors(h)
-            rows.append((np.full(len(at), doc), at, at + MIN_WORDS, _rolled(h, MIN_WORDS, at), None))
+            rows.append((np.full(len(at), doc), at, at + MIN_WORDS, _rolled(h, MIN_WORDS, at), np.zeros((len(at), BANDS), np.uint64)))
             spans = _lines(text)
             if len(spans):
                 whole = np.array([xxhash.xxh64_intdigest(h[a:e].tobytes()) for a, e in spans], np.uint64)
-                rows.append((np.full(len(spans), doc), spans[:, 0], spans[:, 1], whole, _bands(h, spans).view(np.int64).tolist()))
+                rows.append((np.full(len(spans), doc), spans[:, 0], spans[:, 1], whole, _bands(h, spans) | np.uint64(1)))
             held += len(h)
             if held > PIECE:
                 yield batch(rows)
@@ -127,6 +129,18 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(rows)
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) from each line of a bucket to the one before it, the buckets of one partition being whole."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        value, line = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((line, value))
+        value, line = value[order], line[order]
+        same = np.flatnonzero((value[1:] == value[:-1]) & (line[1:] != line[:-1]))
+        a, b = forest(line[same], line[same + 1])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, shingles): the sorted distinct shingle hashes of each wanted line."""
     for b in batches:
@@ -134,8 +148,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, wanted in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
             h = _hashes(text)
             for w in wanted:
-                hashes.append(w["hash"])
-                sets.append(np.unique(_rolled(h[w["start"] : w["end"]], SHINGLE)).tobytes())
+                own = h[w["start"] : w["end"]]
+                if np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64) == w["hash"]:
+                    hashes.append(w["hash"])
+                    sets.append(np.unique(_rolled(own, SHINGLE)).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(sets, pa.binary())], names=["hash", "shingles"])
 
 
@@ -171,16 +187,16 @@ def _verified(table: pa.Table, similarity: float) -> pa.Table:
 
 def _line_clusters(docs: DataFrame, lines: DataFrame, similarity: float, chunk: int) -> DataFrame:
     """(hash, cluster) of the distinct lines that are near another."""
-    distinct = cut(lines.groupBy("hash").agg(F.min(F.struct("doc_id", "start", "end")).alias("p"), F.first("bands").alias("bands")))
-    buckets = distinct.select("hash", F.posexplode("bands").alias("band", "value"))
-    star = buckets.groupBy("band", "value").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least < most").select("band", "value", "least")
-    groups = connected_components(buckets.join(star, ["band", "value"]).select(F.col("hash").alias("a"), F.col("least").alias("b")))
-    groups = groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("id", "hash")
-    wanted = distinct.join(groups.select("hash"), "hash").groupBy("p.doc_id").agg(F.collect_list(F.struct("hash", "p.start", "p.end")).alias("wanted"))
-    # rows that repeat an id may differ in their text; the line is in one of them and checked by its hash below
+    distinct = lines.groupBy("hash").agg(*[F.first(c).alias(c) for c in _BAND_COLUMNS])
+    buckets = distinct.select(F.explode(F.array(*_BAND_COLUMNS)).alias("value"), "hash")
+    groups = connected_components(buckets.repartition("value").mapInArrow(_stars, "a long, b long"))
+    groups = cut(groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("id", "hash"))
+    places = lines.select("hash", "doc_id", "start", "end").join(groups.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("doc_id", "start", "end")).alias("p"))
+    wanted = places.groupBy("p.doc_id").agg(F.collect_list(F.struct("hash", "p.start", "p.end")).alias("wanted"))
+    # of rows that repeat an id with other texts, only those that hold the line have it
     sets = docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_sets, "hash long, shingles binary").groupBy("hash").agg(F.max("shingles").alias("shingles"))
     member = groups.join(sets, "hash")
-    counts = member.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("chunks"))
+    counts = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("chunks"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
     dealt = member.join(counts, "component").withColumn("chunk", F.pmod(F.xxhash64("hash"), F.col("chunks")).cast("int")).withColumn("pair", F.explode(pairs)).select("component", "pair.i", "pair.j", "chunk", "hash", "shingles")
     edges = dealt.groupBy("component", "i", "j").applyInArrow(lambda t: _verified(t, similarity), "a long, b long")
@@ -194,15 +210,18 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK)
     repeat an id count as one document. Empty tables give no rows.
     """
     docs = id_text(docs).where("doc_id is not null and text is not null")
-    units = written(docs.mapInArrow(_units, "doc_id long, start int, end int, hash long, bands array<long>"))
-    lines, windows = units.where("bands is not null"), units.where("bands is null").select("doc_id", "start", "end", F.col("hash").alias("cluster"))
+    units = written(docs.mapInArrow(_units, _UNITS))
+    lines, windows = units.where("b0 is not null"), units.where("b0 is null").select("doc_id", "start", F.col("hash").alias("cluster"))
     clusters = _line_clusters(docs, lines, similarity, chunk)
     # every line belongs to the cluster of its own hash at least
     named = lines.select("doc_id", "start", "end", "hash").join(clusters, "hash", "left").select("doc_id", "start", "end", F.coalesce("cluster", "hash").alias("cluster"))
     out = None
     for part in (windows, named):
-        heads = part.groupBy("cluster").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.max("doc_id").alias("other")).where("head.doc_id < other").select("cluster", "head")
-        one = part.join(heads, "cluster").select("doc_id", "start", "end", "cluster", (F.struct("doc_id", "start") == F.col("head")).alias("first")).distinct()
+        several = part.groupBy("cluster").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("other")).where("head < other").select("cluster", "head")
+        members = cut(part.join(several, "cluster").distinct())
+        starts = members.where("doc_id = head").groupBy("cluster").agg(F.min("start").alias("from"))
+        end = F.col("end") if "end" in part.columns else F.col("start") + MIN_WORDS
+        one = members.join(starts, "cluster").select("doc_id", "start", end.alias("end"), "cluster", ((F.col("doc_id") == F.col("head")) & (F.col("start") == F.col("from"))).alias("first"))
         out = one if out is None else out.unionByName(one)
     return out
 
