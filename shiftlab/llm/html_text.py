@@ -24,9 +24,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import cut, texts
 
 DEPTH, GROUP = 16, 256
+#: Hosts whose numbers of pages are broadcast, of a few dozen bytes each.
+MAX_HOSTS = 100_000
 
 # Kinds of elements, and words in class, id and role that tell what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -194,11 +196,12 @@ def extracted(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
-    groups = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / F.lit(group)).cast("int").alias("groups"))
-    # Spark broadcasts the counts of hosts where they are small and shuffles both sides where they aren't
-    dealt = rows.join(groups, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")).cast("int")).select("host", "part", "page_id", "url", F.col("html").alias("html"))
-    packed = dealt.mapInArrow(_packed, "host string, part int, page_id long, url string, html binary")
-    return packed.groupBy("host", "part").applyInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    groups = cut(rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / F.lit(group)).cast("int").alias("groups")))
+    if groups.count() <= MAX_HOSTS:  # beyond, pages and counts meet by a shuffle
+        groups = F.broadcast(groups)
+    packed = rows.select("host", "page_id", "url", "html").mapInArrow(_packed, "host string, page_id long, url string, html binary")
+    dealt = packed.join(groups, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")).cast("int"))
+    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(_extracted, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
