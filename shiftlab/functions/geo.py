@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,44 +34,61 @@ def auto_nside(n: int) -> int:
     return 1 << power
 
 
+def _let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """`body` of a struct of values, each computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), body), 1)
+
+
+def _whole(c: Column) -> Column:
+    return F.floor(c).cast("long")
+
+
 def ang2pix(nside: int, lat: Column, lon: Column) -> Column:
     """The pixel of a point in degrees."""
     n = nside
-    whole = lambda c: F.floor(c).cast("long")
-    z = F.sin(F.radians(lat))
-    turn = F.pmod(F.radians(lon), F.lit(2 * math.pi))
-    tt = turn / (math.pi / 2)
-    rising, falling = whole(n * (0.5 + tt) - 0.75 * n * z), whole(n * (0.5 + tt) + 0.75 * n * z)
-    ring = n + 1 + rising - falling
-    odd = 1 - F.pmod(ring, F.lit(2))
-    place = F.pmod(whole((rising + falling - n + odd + 1) / 2), F.lit(4 * n))
-    belt = 2 * n * (n - 1) + (ring - 1) * (4 * n) + place
-    part = tt - F.floor(tt)
-    edge = n * F.sqrt(3 * (1 - F.abs(z)))
-    jp, jm = whole(part * edge), whole((1 - part) * edge)
-    cap_ring = jp + jm + 1
-    cap_place = F.pmod(whole(tt * cap_ring), 4 * cap_ring)
-    cap = F.when(z > 0, 2 * cap_ring * (cap_ring - 1) + cap_place).otherwise(12 * n * n - 2 * cap_ring * (cap_ring + 1) + cap_place)
-    return F.when(F.abs(z) <= 2 / 3, belt).otherwise(cap).cast("long")
+    place = {"z": F.sin(F.radians(lat)), "tt": F.pmod(F.radians(lon), F.lit(2 * math.pi)) / (math.pi / 2)}
+
+    def belt(s: Column) -> Column:
+        def pixel(j: Column) -> Column:
+            ring = n + 1 + j["up"] - j["down"]
+            odd = 1 - F.pmod(ring, F.lit(2))
+            return 2 * n * (n - 1) + (ring - 1) * (4 * n) + F.pmod(_whole((j["up"] + j["down"] - n + odd + 1) / 2), F.lit(4 * n))
+
+        return _let({"up": _whole(n * (0.5 + s["tt"]) - 0.75 * n * s["z"]), "down": _whole(n * (0.5 + s["tt"]) + 0.75 * n * s["z"])}, pixel)
+
+    def cap(s: Column) -> Column:
+        part, edge = s["tt"] - F.floor(s["tt"]), n * F.sqrt(3 * (1 - F.abs(s["z"])))
+
+        def pixel(c: Column) -> Column:
+            i, along = c["ring"], F.pmod(_whole(s["tt"] * c["ring"]), 4 * c["ring"])
+            return F.when(s["z"] > 0, 2 * i * (i - 1) + along).otherwise(12 * n * n - 2 * i * (i + 1) + along)
+
+        return _let({"ring": _whole(part * edge) + _whole((1 - part) * edge) + 1}, pixel)
+
+    return _let(place, lambda s: F.when(F.abs(s["z"]) <= 2 / 3, belt(s)).otherwise(cap(s)).cast("long"))
 
 
 def pix2ang(nside: int, pixel: Column) -> tuple[Column, Column]:
     """(lat, lon) of a pixel's centre in degrees, lon from 0 to 360."""
     n = nside
-    cap, total = 2 * n * (n - 1), 12 * n * n
-    long = lambda c: F.floor(c).cast("long")
-    root = lambda c: long(F.sqrt(c.cast("double")))
-    i = long((1 + root(1 + 2 * pixel)) / 2)
-    f = pixel + 1 - 2 * i * (i - 1)
-    north = (1 - i * i / (3.0 * n * n), (f - 0.5) * math.pi / (2 * i))
-    q = pixel - cap
-    j = long(q / (4 * n)) + n
-    g = F.pmod(q, F.lit(4 * n)) + 1
-    offset = F.when(F.pmod(j + n, F.lit(2)) == 1, 1.0).otherwise(0.5)
-    belt = ((2 * n - j) * 2 / (3.0 * n), (g - offset) * math.pi / (2 * n))
-    s = total - pixel
-    k = F.greatest(F.lit(1), long((1 + root(F.greatest(F.lit(0), 2 * s - 1))) / 2))
-    h = 4 * k + 1 - (s - 2 * k * (k - 1))
-    south = (-1 + k * k / (3.0 * n * n), (h - 0.5) * math.pi / (2 * k))
-    pick = lambda x: F.when(pixel < cap, north[x]).when(pixel < total - cap, belt[x]).otherwise(south[x])
-    return F.degrees(F.asin(pick(0))), F.degrees(pick(1))
+    ncap, total = 2 * n * (n - 1), 12 * n * n
+    root = lambda c: _whole(F.sqrt(c.cast("double")))
+
+    def north(p: Column) -> Column:
+        return _let({"i": _whole((1 + root(1 + 2 * p)) / 2)}, lambda s: F.struct((1 - s["i"] * s["i"] / (3.0 * n * n)).alias("z"), ((p + 1 - 2 * s["i"] * (s["i"] - 1) - 0.5) * math.pi / (2 * s["i"])).alias("phi")))
+
+    def belt(p: Column) -> Column:
+        q = p - ncap
+
+        def place(s: Column) -> Column:
+            offset = F.when(F.pmod(s["i"] + n, F.lit(2)) == 1, 1.0).otherwise(0.5)
+            return F.struct(((2 * n - s["i"]) * 2 / (3.0 * n)).alias("z"), ((F.pmod(q, F.lit(4 * n)) + 1 - offset) * math.pi / (2 * n)).alias("phi"))
+
+        return _let({"i": _whole(q / (4 * n)) + n}, place)
+
+    def south(p: Column) -> Column:
+        q = total - p
+        return _let({"i": _whole((1 + root(2 * q - 1)) / 2)}, lambda s: F.struct((-1 + s["i"] * s["i"] / (3.0 * n * n)).alias("z"), ((4 * s["i"] + 1 - (q - 2 * s["i"] * (s["i"] - 1)) - 0.5) * math.pi / (2 * s["i"])).alias("phi")))
+
+    at = _let({"p": pixel}, lambda s: F.when(s["p"] < ncap, north(s["p"])).when(s["p"] < total - ncap, belt(s["p"])).otherwise(south(s["p"])))
+    return F.degrees(F.asin(at["z"])), F.degrees(at["phi"])

@@ -220,7 +220,7 @@ def grouped_fit(points: DataFrame, axes: list[str], method: Clusterer, keys: lis
     schema = points.select(*keys, F.lit(0).alias("cluster")).schema
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(k, "ascending") for k in keys])
+        table = table.drop_columns("all").sort_by([(k, "ascending") for k in keys])
         x = np.column_stack([table.column(a).to_numpy() for a in axes])
         try:
             labels = np.asarray(method.fit_predict(x, table.column("w").to_numpy()))
@@ -228,7 +228,7 @@ def grouped_fit(points: DataFrame, axes: list[str], method: Clusterer, keys: lis
             labels = np.full(len(x), -1)
         return table.select(keys).append_column("cluster", pa.array(labels.astype(np.int32)))
 
-    return points.select(*keys, *axes, "w").groupBy(F.lit(0)).applyInArrow(run, schema)
+    return points.select(F.lit(0).alias("all"), *keys, *axes, "w").groupBy("all").applyInArrow(run, schema)
 
 
 def cluster_points(points: DataFrame, times: DataFrame, cells: DataFrame, method: Clusterer | DBSCAN, grid_kind: str = "native", time_weight: float = 1.0, regridder: HealPixRegridder | None = None, disable_regridder: bool = False, sort_by_size: bool = True) -> DataFrame:
