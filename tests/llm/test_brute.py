@@ -290,8 +290,17 @@ def test_op3(spark, frame):
             known[w] = total
         return known[w]
 
+    def score(x):
+        before, out = Counter(), 0.0
+        for i, w in enumerate(x):
+            g = (c[w] + v * 10 ** length(w)) / (n + v)
+            out += np.log10((before[w] + ppm.OWN_ESCAPE * len(before) * g) / (i + ppm.OWN_ESCAPE * len(before)) if i else g)
+            before[w] += 1
+        return out
+
     some = range(0, len(tokens), 5)
-    assert np.allclose([sum(map(length, tokens[i])) for i in some], got.score[list(some)], rtol=1e-6)
+    assert np.allclose([score(tokens[i]) for i in some], got.score[list(some)], rtol=1e-6)
+    assert got.score[~got.held_out].sum() > got.base_score[~got.held_out].sum()
 
 
 def test_op9(spark):
