@@ -10,7 +10,8 @@ import json
 import logging
 import re
 import time as clock
-from collections.abc import Callable, Iterable
+from collections import ChainMap
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 from typing import Any
@@ -40,7 +41,7 @@ class ShiftCube:
     nx: int
     grid_kind: str = "native"
     time_name: str = "time"
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: Mapping[str, DataFrame] = field(default_factory=dict)
     catalog: dict[str, dict[str, Any]] = field(default_factory=dict)
 
     # -- making one
@@ -175,7 +176,7 @@ class ShiftCube:
         return name
 
     def _with(self, name: str, df: DataFrame, attributes: dict[str, Any]) -> ShiftCube:
-        return replace(self, tables={**self.tables, name: df}, catalog={**self.catalog, name: attributes})
+        return replace(self, tables=ChainMap({name: df}, self.tables), catalog={**self.catalog, name: attributes})
 
     def _repr_html_(self) -> str:
         items = []
@@ -212,7 +213,7 @@ class ShiftCube:
 
     def drop_clusters(self, *names: str) -> ShiftCube:
         gone = set(names or self.cluster_vars)
-        return replace(self, tables={n: d for n, d in self.tables.items() if n not in gone}, catalog={n: a for n, a in self.catalog.items() if n not in gone})
+        return replace(self, tables={n: self.tables[n] for n in self.tables if n not in gone}, catalog={n: a for n, a in self.catalog.items() if n not in gone})
 
     def drop_shifts(self, *names: str) -> ShiftCube:
         """Also drops the clusters that were made of them."""

@@ -36,7 +36,8 @@ class HealPixRegridder:
     nside: int | None = None
 
     def sized(self, points: DataFrame) -> HealPixRegridder:
-        return self if self.nside else HealPixRegridder(auto_nside(points.select("cell_id").distinct().count()))
+        """With a resolution that suits the points' distinct places; of fewer than 4 places the coarsest."""
+        return self if self.nside else HealPixRegridder(auto_nside(max(4, points.select("cell_id").distinct().count())))
 
     def with_pixels(self, df: DataFrame) -> DataFrame:
         return df.withColumn("hp_pix", ang2pix(self.nside, F.col("lat"), F.col("lon")))

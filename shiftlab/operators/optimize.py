@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import ChainMap
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
@@ -86,7 +87,7 @@ def optimise(cube: Any, var: str, method: Any, params: dict[str, Any], objective
         raise ValueError(f"unknown objective {objective!r}; there are {sorted(OBJECTIVES)}")
     rng, sign, best = random.Random(seed), 1 if direction == "maximize" else -1, None
     shifts = cube.tables[var].persist()  # every trial reads them
-    cube = replace(cube, tables={**cube.tables, var: shifts})
+    cube = replace(cube, tables=ChainMap({var: shifts}, cube.tables))
     try:
         for _ in range(n_trials):
             drawn = sample_params(params, rng)

@@ -6,7 +6,7 @@ step 40 on in the first two rows, so that there is a shift to find. Labels: dens
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -68,11 +68,28 @@ def labels(spark: SparkSession, sf_dir: str, m: str = "a") -> DataFrame:
     return _once(spark, sf_dir, f"labels_{m}", make)
 
 
+class _Made(Mapping):
+    """Tables that are made when they are asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self.makers = makers
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.makers[name]()
+
+    def __iter__(self):
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
 def full_cube(spark: SparkSession, sf_dir: str) -> ShiftCube:
     """The cube with its shifts and the three maps of clusters."""
     c = line_cube(spark, sf_dir)
+    made = _Made({"v_dts": lambda: shifts(spark, sf_dir), **{f"map_{m}": lambda m=m: labels(spark, sf_dir, m) for m in THRESHOLDS}})
     about = {"variable_type": CLUSTER, "base_variable": "v", "shifts_variable": "v_dts"}
-    return replace(c, tables={"v_dts": shifts(spark, sf_dir), **{f"map_{m}": labels(spark, sf_dir, m) for m in THRESHOLDS}}, catalog={**c.catalog, "v_dts": {"variable_type": SHIFT, "base_variable": "v"}, **{f"map_{m}": about for m in THRESHOLDS}})
+    return replace(c, tables=made, catalog={**c.catalog, "v_dts": {"variable_type": SHIFT, "base_variable": "v"}, **{f"map_{m}": about for m in THRESHOLDS}})
 
 
 @dataclass(frozen=True)
