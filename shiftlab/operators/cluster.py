@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import ang2pix, auto_nside, geodetic_to_cartesian, pix2ang
+from ..checkpoints import cut
 from .graph import connected_components
 from .masks import sorted_labels
 
@@ -78,14 +79,14 @@ def dbscan(points: DataFrame, axes: list[str], eps: float, min_samples: int = 5,
     have `min_samples` points within eps, themselves included; components of linked core points
     are clusters, numbered by their smallest key; another point goes to the cluster of the smallest core point that it is linked with.
     """
-    p = points.select(F.col(key).alias("k"), *[F.col(a).cast("double").alias(a) for a in axes])
+    p = cut(points.select(F.col(key).alias("k"), *[F.col(a).cast("double").alias(a) for a in axes]))  # both sides of the join read it
     home = {f"g_{a}": F.floor(F.col(a) / eps).cast("long") for a in axes}
     p = p.withColumns(home)
     around = p.select(F.col("k").alias("o"), *[F.col(a).alias(f"o_{a}") for a in axes], *home)
     for g in home:
         around = around.withColumn(g, F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1)))
     d2 = sum((F.col(a) - F.col(f"o_{a}")) * (F.col(a) - F.col(f"o_{a}")) for a in axes)
-    linked = p.join(around, list(home)).where(d2 <= eps * eps).select("k", "o")
+    linked = cut(p.join(around, list(home)).where(d2 <= eps * eps).select("k", "o"))
     core = linked.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select("k")
     from_core = linked.join(core, "k")
     both = from_core.join(core.withColumnRenamed("k", "o"), "o", "left_semi").where("k < o")

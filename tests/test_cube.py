@@ -16,7 +16,10 @@ def cube(spark):
     df = synth.global_dataset(spark, 10, 20, 60, n_shifts=0, random_seed=3)
     df = synth.add_shift_blob(df, (20, -75), (25, 30), 50, 1.0)
     df = synth.add_shift_blob(df, (-40, 100), (15, 30), 25, -1.0, number=2).select("lat", "lon", "t", "value")
-    return ShiftCube.from_dataframe(df.persist(), "t", values=["value"])
+    c = ShiftCube.from_dataframe(df.persist(), "t", values=["value"])
+    for table in (c.grid, c.cells, c.times):
+        table.persist()
+    return c
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +27,10 @@ def done(cube):
     c = cube.compute_shifts("value")
     c.tables["value_dts"].persist()
     c = c.compute_clusters("value", HDBSCAN(min_cluster_size=4), output_label_suffix="_h")
-    return c.compute_clusters("value_dts", DBSCAN(4000.0, 3), shift_selection="all", output_label_suffix="_d")
+    c = c.compute_clusters("value_dts", DBSCAN(4000.0, 3), shift_selection="all", output_label_suffix="_d")
+    for name in c.cluster_vars:  # many tests read them
+        c.tables[name].persist()
+    return c
 
 
 def test_dimensions(cube):
@@ -52,7 +58,7 @@ def test_methods(done):
     assert done.get_cluster_timeseries("value", 0, v, "mean").count() == done.n_t
     s = done.stats(v)
     k = done.get_clusters(v).where("cluster >= 0").select("cluster").distinct().count()
-    for df in (s.time(), s.space(), s.score_overview()):
+    for df in (s.space(), s.score_consistency(), s.score_nonlinearity()):
         assert df.count() == k
     assert done.aggregate.cluster_occurrence_rate().count() == done.n_cells
     found, summary = done.aggregate.cluster_consensus(min_consensus=0.5)
