@@ -20,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, forest, id_text, texts
+from .common import cut, documents, forest, id_text, texts, written
 from .components import connected_components
 
 RADIUS = 3
+#: Trigrams on either side that the place between two pieces is the least of.
+AROUND = 8
 CHUNK = 1 << 16
 
 
@@ -116,5 +118,72 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3) -> Da
     return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def pieces(text: bytes | None) -> tuple[int, list[int]]:
+    """A hash of a text's words, and hashes of its pieces: the words between places where a hash of three words is the least of its neighbourhood, the same places in any copy; the whole text if there are fewer than two."""
+    words = (text or b"").lower().split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    whole, n = xxhash.xxh64_intdigest(h.tobytes()), len(h) - 2
+    if n <= 0:
+        return whole, [whole]
+    mix = lambda x: (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    g = mix(mix(mix(h[:n]) + h[1 : n + 1]) + h[2:])
+    wide = np.concatenate([np.full(AROUND, ~np.uint64(0)), g, np.full(AROUND, ~np.uint64(0))])
+    least = np.ones(n, bool)
+    for k in range(1, AROUND + 1):
+        least &= (g < wide[AROUND - k : AROUND - k + n]) & (g <= wide[AROUND + k : AROUND + k + n])
+    at = np.flatnonzero(least).tolist()
+    return whole, list(dict.fromkeys(xxhash.xxh64_intdigest(h[i:j].tobytes()) for i, j in zip(at, at[1:]))) or [whole]
+
+
+def _near(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Of one partition of (key, id, fp) with whole keys, the forest of the ids with a common key and fingerprints within `radius`."""
+    parts = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
+    if not parts:
+        return
+    key, ids, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((fp, key))
+    key, ids, fp = key[order], ids[order], fp[order]
+    a, b, held, at, lag = [], [], 0, np.arange(len(fp) - 1), 1
+    while len(at := at[at + lag < len(fp)]):
+        at = at[key[at] == key[at + lag]]
+        close = at[np.bitwise_count((fp[at] ^ fp[at + lag]).view(np.uint64)) <= radius]
+        a.append(ids[close])
+        b.append(ids[close + lag])
+        held += len(close)
+        if held > 1 << 20:
+            x, y = forest(np.concatenate(a), np.concatenate(b))
+            a, b, held = [x], [y], 0
+        lag += 1
+    if held:
+        x, y = forest(np.concatenate(a), np.concatenate(b))
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of near copies with more edits than `near_duplicates` reaches.
+
+    Balls of a radius that agreement of `similarity` of 64 bits asks for can't be enumerated, so the table
+    is keyed by pieces of the text instead of segments of the fingerprint: texts link that share a piece and whose complete
+    fingerprints, of shingles of `width` words, agree in so many bits. Equal texts are
+    collapsed before. Texts without words are equal. A null id takes the component of an equal text with an id, NULL without one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(fingerprint(t, width), *pieces(t)) for t in texts(b.column(1))]
+            signed = lambda i: pa.array(np.array([x[i] for x in found], np.uint64).view(np.int64))
+            keys = [np.array(x[2], np.uint64).view(np.int64) for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), signed(0), signed(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "whole", "keys"])
+
+    rows = written(id_text(docs).mapInArrow(run, "doc_id long, fp long, whole long, keys array<long>"))
+    equal = cut(rows.groupBy("whole").agg(F.min("doc_id").alias("id")).where("id is not null"))
+    first = equal.select(F.col("whole").alias("of"), F.col("id").alias("doc_id"))
+    keyed = rows.join(first, "doc_id").where("whole = of").select(F.col("doc_id").alias("id"), "fp", F.explode("keys").alias("key")).distinct()
+    radius = int((1 - similarity) * 64 + 1e-9)
+    comps = connected_components(keyed.select("key", "id", "fp").repartition("key").mapInArrow(lambda b: _near(b, radius), "a long, b long"))
+    named = equal.join(comps, "id", "left").select("whole", F.coalesce("component", "id").alias("component_id"))
+    return rows.join(named, "whole", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
