@@ -185,6 +185,14 @@ def _verified(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def verified(members: DataFrame, groups: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) that connect the members (hash, component, shingles) of each component whose exact Jaccard similarity is high enough. `groups` holds the components again, without the shingles."""
+    counts = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("chunks"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
+    dealt = members.join(counts, "component").withColumn("chunk", F.pmod(F.xxhash64("hash"), F.col("chunks")).cast("int")).withColumn("pair", F.explode(pairs)).select("component", "pair.i", "pair.j", "chunk", "hash", "shingles")
+    return dealt.groupBy("component", "i", "j").applyInArrow(lambda t: _verified(t, similarity), "a long, b long")
+
+
 def _line_clusters(docs: DataFrame, lines: DataFrame, similarity: float, chunk: int) -> DataFrame:
     """(hash, cluster) of the distinct lines that are near another."""
     distinct = lines.groupBy("hash").agg(*[F.first(c).alias(c) for c in _BAND_COLUMNS])
@@ -195,11 +203,7 @@ def _line_clusters(docs: DataFrame, lines: DataFrame, similarity: float, chunk:
     wanted = places.groupBy("p.doc_id").agg(F.collect_list(F.struct("hash", "p.start", "p.end")).alias("wanted"))
     # of rows that repeat an id with other texts, only those that hold the line have it
     sets = docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_sets, "hash long, shingles binary").groupBy("hash").agg(F.max("shingles").alias("shingles"))
-    member = groups.join(sets, "hash")
-    counts = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("chunks"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
-    dealt = member.join(counts, "component").withColumn("chunk", F.pmod(F.xxhash64("hash"), F.col("chunks")).cast("int")).withColumn("pair", F.explode(pairs)).select("component", "pair.i", "pair.j", "chunk", "hash", "shingles")
-    edges = dealt.groupBy("component", "i", "j").applyInArrow(lambda t: _verified(t, similarity), "a long, b long")
+    edges = verified(groups.join(sets, "hash"), groups, similarity, chunk)
     return connected_components(edges).select(F.col("id").alias("hash"), F.col("component").alias("cluster"))
 
 

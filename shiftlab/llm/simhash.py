@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, forest, id_text, texts, written
 from .components import connected_components
+from .paragraphs import verified
 
 RADIUS = 3
 #: Trigrams on either side that the place between two pieces is the least of.
@@ -135,6 +136,12 @@ def pieces(text: bytes | None) -> tuple[int, list[int]]:
     return whole, list(dict.fromkeys(xxhash.xxh64_intdigest(h[i:j].tobytes()) for i, j in zip(at, at[1:]))) or [whole]
 
 
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles."""
+    words = (text or b"").lower().split()
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))], np.uint64))
+
+
 def _near(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Of one partition of (key, id, fp) with whole keys, the forest of the ids with a common key and fingerprints within `radius`."""
     parts = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
@@ -162,10 +169,12 @@ def _near(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, fingerprint, component_id) of near copies with more edits than `near_duplicates` reaches.
 
-    Balls of a radius that agreement of `similarity` of 64 bits asks for can't be enumerated, so the table
-    is keyed by pieces of the text instead of segments of the fingerprint: texts link that share a piece and whose complete
-    fingerprints, of shingles of `width` words, agree in so many bits. Equal texts are
-    collapsed before. Texts without words are equal. A null id takes the component of an equal text with an id, NULL without one.
+    Balls of the radius that this takes can't be enumerated, so the table is keyed by pieces of the
+    text instead of segments of the fingerprint: candidates share a piece and have complete fingerprints, of shingles of
+    `width` words, within the distance that texts of that Jaccard similarity have, one and a half standard
+    deviations included. Of each component of candidates the exact Jaccard similarities of all pairs decide, large
+    ones in chunks that meet two by two. Equal texts are collapsed before. Texts without words are
+    equal. A null id takes the component of an equal text with an id, NULL without one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +188,18 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     equal = cut(rows.groupBy("whole").agg(F.min("doc_id").alias("id")).where("id is not null"))
     first = equal.select(F.col("whole").alias("of"), F.col("id").alias("doc_id"))
     keyed = rows.join(first, "doc_id").where("whole = of").select(F.col("doc_id").alias("id"), "fp", F.explode("keys").alias("key")).distinct()
-    radius = int((1 - similarity) * 64 + 1e-9)
-    comps = connected_components(keyed.select("key", "id", "fp").repartition("key").mapInArrow(lambda b: _near(b, radius), "a long, b long"))
+    flip = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # of a bit, from the cosine of the shingles' counts
+    radius = int(64 * flip + 1.5 * np.sqrt(64 * flip * (1 - flip)))
+    groups = connected_components(keyed.select("key", "id", "fp").repartition("key").mapInArrow(lambda b: _near(b, radius), "a long, b long"))
+    groups = cut(groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct()))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingles(t, width).tobytes() for t in texts(b.column(2))], pa.binary())], names=["hash", "component", "shingles"])
+
+    named = id_text(docs).join(groups, F.col("doc_id") == F.col("id")).select("doc_id", "component", "text").dropDuplicates(["doc_id"])
+    edges = verified(named.mapInArrow(sets, "hash long, component long, shingles binary"), groups, similarity)
+    comps = connected_components(edges)
     named = equal.join(comps, "id", "left").select("whole", F.coalesce("component", "id").alias("component_id"))
     return rows.join(named, "whole", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

@@ -32,17 +32,18 @@ def test_brute_force(spark):
 def corpus_brute(left):
     fps = [simhash.fingerprint(t.encode(), 5) for t in left.text]
     keys = [simhash.pieces(t.encode()) for t in left.text]
+    sets = [set(simhash.shingles(t.encode(), 5).tolist()) for t in left.text]
     up = list(range(len(fps)))
     for i in range(len(fps)):
         for j in range(i):
-            if keys[i][0] == keys[j][0] or set(keys[i][1]) & set(keys[j][1]) and (fps[i] ^ fps[j]).bit_count() <= 12:
+            if keys[i][0] == keys[j][0] or set(keys[i][1]) & set(keys[j][1]) and (fps[i] ^ fps[j]).bit_count() <= 14 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = up[i], up[j]
                 up = [min(a, b) if u in (a, b) else u for u in up]
     return [u == i for i, u in enumerate(up)]
 
 
 def test_near_copies_with_edits(spark):
-    """Copies with an edit in every 60 words are linked; texts that share a passage aren't."""
+    """Copies with an edit in every 125 words are linked; texts that share a passage aren't."""
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 9)))
     rows, truth, passage = [], [], [word() for _ in range(60)]
@@ -50,7 +51,7 @@ def test_near_copies_with_edits(spark):
         base = [word() for _ in range(rng.randint(120, 400))] + passage * (k % 2)
         for c in range(3):
             own = list(base)
-            for _ in range(c * len(own) // 120):
+            for _ in range(c * len(own) // 250):
                 own[rng.randrange(len(own))] = word()
             rows.append((len(rows), " ".join(own)))
             truth.append(3 * k)
