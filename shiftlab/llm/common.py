@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -33,10 +35,17 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Writes `df` as a Parquet table in the shared folder and reads it again."""
     path = f"{checkpoint_dir(df.sparkSession)}/shiftlab-{os.getpid()}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what nothing refers to any more, which it does as the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, forest, id_text, texts, written
+from .common import cut, documents, forest, id_text, released, texts, written
 from .components import connected_components
 
 SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 10, 3
@@ -101,12 +101,12 @@ _UNITS = "doc_id long, start int, end int, hash long, " + ", ".join(f"{c} long"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, end, hash, bands) of the paragraphs; the bands are null for windows."""
+    """(doc_id, start, end, hash, bands) of the paragraphs; end and bands are null for windows, which have one length."""
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         ids, starts, ends, hashes, bands = (np.concatenate(x) for x in zip(*rows, strict=True))
         none = bands[:, 0] == 0
-        columns = [pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64))]
+        columns = [pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends.astype(np.int32), mask=none), pa.array(hashes.view(np.int64))]
         return pa.RecordBatch.from_arrays([*columns, *(pa.array(bands[:, i].view(np.int64), mask=none) for i in range(BANDS))], names=["doc_id", "start", "end", "hash", *_BAND_COLUMNS])
 
     for b in batches:
@@ -217,12 +217,14 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK)
     units = written(docs.mapInArrow(_units, _UNITS))
     lines, windows = units.where("b0 is not null"), units.where("b0 is null").select("doc_id", "start", F.col("hash").alias("cluster"))
     clusters = _line_clusters(docs, lines, similarity, chunk)
+    released(docs.sparkSession)
     # every line belongs to the cluster of its own hash at least
     named = lines.select("doc_id", "start", "end", "hash").join(clusters, "hash", "left").select("doc_id", "start", "end", F.coalesce("cluster", "hash").alias("cluster"))
     out = None
     for part in (windows, named):
         several = part.groupBy("cluster").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("other")).where("head < other").select("cluster", "head")
         members = cut(part.join(several, "cluster").distinct())
+        released(docs.sparkSession)
         starts = members.where("doc_id = head").groupBy("cluster").agg(F.min("start").alias("from"))
         end = F.col("end") if "end" in part.columns else F.col("start") + MIN_WORDS
         one = members.join(starts, "cluster").select("doc_id", "start", end.alias("end"), "cluster", ((F.col("doc_id") == F.col("head")) & (F.col("start") == F.col("from"))).alias("first"))
