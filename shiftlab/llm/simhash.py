@@ -12,6 +12,7 @@ that it found instead of all pairs, so a group of copies costs one row for each
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,20 +31,19 @@ AROUND = 8
 CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """The unsigned SimHash of a text's word shingles; 0 for a text without words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    line = b" ".join(words)
+def hashed(words: list[bytes], width: int) -> list[int]:
+    """Hashes of the shingles of `width` words in order; one of the whole line if there are no more words than that."""
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(line, 42)]
-    else:
-        at = [0]
-        for w in words:
-            at.append(at[-1] + len(w) + 1)
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[i : j - 1], 42) for i, j in zip(at, at[width:])]
+        return [digest(line, 42)]
+    at = [0]
+    for w in words:
+        at.append(at[-1] + len(w) + 1)
+    return [digest(line[i : j - 1], 42) for i, j in zip(at, at[width:])]
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), CHUNK):
         bits = np.unpackbits(np.array(hashes[i : i + CHUNK], dtype="<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
@@ -51,6 +51,12 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """The unsigned SimHash of a text's word shingles; 0 for a text without words."""
+    words = (text or b"").lower().split()
+    return majority(hashed(words, width)) if words else 0
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint of each row as a signed long. A null text counts as empty."""
 
@@ -138,70 +144,112 @@ def pieces(text: bytes | None) -> tuple[int, list[int]]:
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
     """The sorted distinct hashes of a text's word shingles."""
-    words = (text or b"").lower().split()
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))], np.uint64))
+    return np.unique(np.array(hashed((text or b"").lower().split(), width), np.uint64))
+
+
+def _least(n: int, similarity: float) -> int:
+    """The fewest shingles that a set of n shares with any set that is similar enough."""
+    return math.ceil(similarity * n - 1e-9)
+
 
+def _several(n: int) -> int:
+    """How many shingles of their beginnings two similar sets of at least n must share."""
+    return 1 + n // 10
 
-def _near(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Of one partition of (key, id, fp) with whole keys, the forest of the ids with a common key and fingerprints within `radius`."""
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one partition of (whole, n, key) with whole keys, the distinct rows whose key is in several texts, with their number."""
     parts = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
     if not parts:
         return
-    key, ids, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((fp, key))
-    key, ids, fp = key[order], ids[order], fp[order]
-    a, b, held, at, lag = [], [], 0, np.arange(len(fp) - 1), 1
-    while len(at := at[at + lag < len(fp)]):
-        at = at[key[at] == key[at + lag]]
-        close = at[np.bitwise_count((fp[at] ^ fp[at + lag]).view(np.uint64)) <= radius]
-        a.append(ids[close])
-        b.append(ids[close + lag])
-        held += len(close)
-        if held > 1 << 20:
-            x, y = forest(np.concatenate(a), np.concatenate(b))
-            a, b, held = [x], [y], 0
-        lag += 1
-    if held:
-        x, y = forest(np.concatenate(a), np.concatenate(b))
+    whole, n, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((whole, key))
+    whole, n, key = whole[order], n[order], key[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1]))
+    whole, n, key = whole[new], n[new], key[new]
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(begin, len(key)))
+    texts_of = np.repeat(size, size)
+    for at in np.array_split(np.flatnonzero(texts_of > 1), 1 + len(key) // CHUNK):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (whole, n, key, texts_of)], names=["whole", "n", "key", "texts"])
+
+
+def _chains(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of one partition of (whole, n, key) with whole keys, links of the texts with a common key. In order of their sizes it is enough to link neighbours: if two are of similar size, so are all between them."""
+    parts = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
+    if not parts:
+        return
+    whole, n, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((whole, n, key))
+    whole, n, key = whole[order], n[order], key[order]
+    at = np.flatnonzero((key[1:] == key[:-1]) & (n[:-1] >= similarity * n[1:] - 1e-9))
+    if len(at):
+        x, y = forest(whole[at], whole[at + 1])
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of near copies with more edits than `near_duplicates` reaches.
-
-    Balls of the radius that this takes can't be enumerated, so the table is keyed by pieces of the
-    text instead of segments of the fingerprint: candidates share a piece and have complete fingerprints, of shingles of
-    `width` words, within the distance that texts of that Jaccard similarity have, one and a half standard
-    deviations included. Of each component of candidates the exact Jaccard similarities of all pairs decide, large
-    ones in chunks that meet two by two. Equal texts are collapsed before. Texts without words are
-    equal. A null id takes the component of an equal text with an id, NULL without one.
+    """(doc_id, fingerprint, component_id) of near copies with more edits than `near_duplicates` reaches: the components of all pairs of texts whose sets of shingles of `width` words have that Jaccard similarity.
+
+    No such pair is lost, as both filters follow from the sizes of the sets. In any order of all shingles, similar sets
+    share `k` shingles among the first n - least + k of each, `least` being what they must share. First the order is by hash, and
+    a text goes on if enough of its beginning is in other texts. Of these, the order is by the number of texts that have a
+    shingle, rare ones first, and candidates share one shingle (k = 1) of their beginnings and are of similar size. Of each
+    component of candidates the exact Jaccard similarities of all pairs decide, large ones in chunks that meet two by two.
+    Equal texts are collapsed before. Texts without words are equal. A null id takes the component of an equal text with an id,
+    NULL without one.
     """
+    signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(fingerprint(t, width), *pieces(t)) for t in texts(b.column(1))]
-            signed = lambda i: pa.array(np.array([x[i] for x in found], np.uint64).view(np.int64))
-            keys = [np.array(x[2], np.uint64).view(np.int64) for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), signed(0), signed(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "whole", "keys"])
-
-    rows = written(id_text(docs).mapInArrow(run, "doc_id long, fp long, whole long, keys array<long>"))
+            fps, wholes, sizes, keys = [], [], [], []
+            for t in texts(b.column(1)):
+                words = (t or b"").lower().split()
+                h = hashed(words, width)
+                own = np.unique(np.array(h, np.uint64))
+                fps.append(majority(h) if words else 0)
+                wholes.append(xxhash.xxh64_intdigest(b" ".join(words)))
+                sizes.append(len(own))
+                keys.append(own[: len(own) - _least(len(own), similarity) + _several(len(own))].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), signed(fps), signed(wholes), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "whole", "n", "keys"])
+
+    rows = written(id_text(docs).mapInArrow(run, "doc_id long, fp long, whole long, n int, keys array<long>"))
     equal = cut(rows.groupBy("whole").agg(F.min("doc_id").alias("id")).where("id is not null"))
     first = equal.select(F.col("whole").alias("of"), F.col("id").alias("doc_id"))
-    keyed = rows.join(first, "doc_id").where("whole = of").select(F.col("doc_id").alias("id"), "fp", F.explode("keys").alias("key")).distinct()
-    flip = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # of a bit, from the cosine of the shingles' counts
-    radius = int(64 * flip + 1.5 * np.sqrt(64 * flip * (1 - flip)))
-    groups = connected_components(keyed.select("key", "id", "fp").repartition("key").mapInArrow(lambda b: _near(b, radius), "a long, b long"))
-    groups = cut(groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct()))
+    keyed = rows.join(first, "doc_id").where("whole = of").select("whole", "n", F.explode("keys").alias("key"))
+    common = keyed.repartition("key").mapInArrow(_shared, "whole long, n int, key long, texts long").groupBy("whole", "n").agg(F.count(F.lit(1)).alias("common"))
+    least = F.ceil(F.lit(similarity) * F.col("n") - 1e-9)
+    going = common.where(F.col("common") >= 1 + F.floor(least / 10)).join(equal, "whole").select(F.col("whole").alias("of"), F.col("id").alias("doc_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingles(t, width).tobytes() for t in texts(b.column(2))], pa.binary())], names=["hash", "component", "shingles"])
+            found = {}
+            for t, of in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
+                if np.uint64(xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split()))).view(np.int64) == of:  # of rows that repeat an id with other texts, only those that have this one
+                    found[of] = shingles(t, width).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["hash", "shingles"])
+
+    held = written(id_text(docs).join(going, "doc_id").select("text", "of").mapInArrow(sets, "hash long, shingles binary").dropDuplicates(["hash"]))
 
-    named = id_text(docs).join(groups, F.col("doc_id") == F.col("id")).select("doc_id", "component", "text").dropDuplicates(["doc_id"])
-    edges = verified(named.mapInArrow(sets, "hash long, component long, shingles binary"), groups, similarity)
-    comps = connected_components(edges)
-    named = equal.join(comps, "id", "left").select("whole", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(named, "whole", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in own], np.int32)
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(own))], names=["whole", "n", "key"])
+
+    ranked = held.mapInArrow(every, "whole long, n int, key long").repartition("key").mapInArrow(_shared, "whole long, n int, key long, texts long")
+    ranked = ranked.groupBy("whole", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "key"))).alias("keys"))
+    left = (F.col("n") - least + 1 - (F.col("n") - F.size("keys"))).cast("int")  # of the beginning, behind the shingles of this text alone
+    begun = ranked.where(left > 0).select("whole", "n", F.explode(F.slice("keys", F.lit(1), left)["key"]).alias("key"))
+    groups = connected_components(begun.repartition("key").mapInArrow(lambda b: _chains(b, similarity), "a long, b long"))
+    groups = cut(groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("id", "hash"))
+    edges = verified(groups.join(held, "hash"), groups, similarity)
+    comps = connected_components(edges).withColumnRenamed("id", "whole")
+    named = equal.join(comps, "whole", "left").select("whole", "id", F.coalesce("component", "whole").alias("component"))
+    ids = named.join(named.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("whole", "component_id")
+    return rows.join(ids, "whole", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

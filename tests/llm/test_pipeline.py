@@ -58,3 +58,30 @@ def test_near_copies_with_edits(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] >= truth[i] for i in got)  # no two texts are joined
     assert sum(got[i] == truth[i] for i in got) >= 0.97 * len(got)
+
+
+def jaccard_brute(sets, similarity=0.8):
+    """Of each set, the first of its component, by Jaccard similarity alone."""
+    up = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9 and up[i] != up[j]:
+                a, b = up[i], up[j]
+                up = [min(a, b) if u in (a, b) else u for u in up]
+    return up
+
+
+def test_all_pairs_at_the_similarity(spark):
+    """Pairs just above and below 0.8 are told apart whatever the distance of their fingerprints."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 9)))
+    texts = []
+    for _ in range(300):
+        base = [word() for _ in range(rng.randint(60, 150))]
+        for cut in (0, len(base) // 5 - rng.randint(0, 4)):  # as many words replaced in front
+            texts.append(" ".join([word() for _ in range(cut // 2)] + base[cut // 2 :]))
+    sets = [set(simhash.shingles(t.encode(), 5).tolist()) for t in texts]
+    far = sum((simhash.fingerprint(a.encode(), 5) ^ simhash.fingerprint(b.encode(), 5)).bit_count() > 13 and len(x & y) >= 0.8 * len(x | y) for a, b, x, y in zip(texts[::2], texts[1::2], sets[::2], sets[1::2]))
+    want = jaccard_brute(sets)
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want and far > 0
