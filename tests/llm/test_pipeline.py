@@ -85,3 +85,19 @@ def test_all_pairs_at_the_similarity(spark):
     want = jaccard_brute(sets)
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == want and far > 0
+
+
+def test_short_near_copies(spark):
+    """Short texts with words appended, put in front or substituted are linked exactly where the similarity is 0.8."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 9)))
+    texts = []
+    for n in (5, 8, 15, 20, 30, 40, 60):
+        for _ in range(6):
+            base = [word() for _ in range(n)]
+            more = [word() for _ in range((n - 4) // 4 + rng.randint(0, 1))]
+            at = rng.randrange(n)
+            texts += [" ".join(x) for x in (base, base + more, more + base, base[:at] + [word()] + base[at + 1 :])]
+    want = jaccard_brute([set(simhash.shingles(t.encode(), 5).tolist()) for t in texts])
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) < 0.7 * len(want)
