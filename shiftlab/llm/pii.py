@@ -48,7 +48,8 @@ _SSN = r"(?P<ssn>(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])
 _PHONE = r"(?P<phone>(?<![\w+.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]))"
 _IP = r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
 _NUMBERS = re.compile("|".join((_EMAIL, _SECRET, _IBAN, _CARD, _SSN, _PHONE, _IP)))
-_NAMES = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<name>[^\W\d_]+(?:[ -][^\W\d_]+)?)")
+_UPPER = "".join(filter(lambda c: c.isupper() and c.isalpha(), map(chr, range(0x20000))))
+_NAMES = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<name>[{_UPPER}][^\W\d_]*(?:[ -][{_UPPER}][^\W\d_]*)*)")
 _NO_DIGITS = bytes(i for i in range(256) if i not in b"0123456789@")
 
 
@@ -222,7 +223,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                     at += 1
     if any(t in text for t in TITLES):
         for m in _NAMES.finditer(text):
-            if all(w[0].isupper() for w in re.split("[ -]", m["name"])) and not any(s < m.end("name") and m.start("name") < e for s, e, *_ in found):
+            if not any(s < m.end("name") and m.start("name") < e for s, e, *_ in found):
                 found.append((m.start("name"), m.end("name"), "name", TITLES[m["title"]]))
     return sorted(found)
 

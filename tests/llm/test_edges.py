@@ -140,3 +140,11 @@ def test_stages(spark, docs, benchmark, labels, tmp_path, empty):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == table.columns
     json.dumps([str(r) for r in corpus_pipeline.run(spark, d).collect()])
+
+
+def test_names_of_any_number_of_words():
+    """One surname before a lower-case word, and three words or more, are replaced; the surname alike in all."""
+    new, found = pii.replaced("Mr. Smith said hello. Dr. Anna Maria Smith agreed, as Mr. John Smith did, but Mr. speaker and Miss out did not.")
+    assert [kind for kind, *_ in found] == ["name"] * 3 and [len(x.split()) for *_, x in found] == [1, 3, 2]
+    assert "Smith" not in new and len({x.split()[-1] for *_, x in found}) == 1
+    assert new.startswith("Mr. ") and " said hello. Dr. " in new and new.endswith(" did, but Mr. speaker and Miss out did not.")
