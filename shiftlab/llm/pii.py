@@ -41,13 +41,14 @@ CLASSES = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåæèéê
 _CLASS = {c: letters for letters in CLASSES for c in letters}
 
 _EMAIL = r"(?P<email>(?<![\w.+-])\w[\w.+-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[A-Za-z]{2,}(?![\w-]))"
-_SECRET = r"""(?P<secret>(?<=[\s"'=:])(?:(?<=token = ")|(?<=token=")|(?<=token: ")|(?<=secret = ")|(?<=secret=")|(?<=api_key = ")|(?<=api_key=")|(?<=password = ")|(?<=password="))[\w+/=.-]{8,}(?="))"""
+_KEYWORDS = ("token", "secret", "api_key", "apikey", "password")
+_SECRET = rf"""(?P<secret>(?i:{'|'.join(_KEYWORDS)})["']?\s*[:=]\s*(?P<quote>["'])(?P<value>[\w+/=.-]{{8,}})(?=(?P=quote)))"""
 _IBAN = r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
 _CARD = r"(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
 _SSN = r"(?P<ssn>(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-]))"
 _PHONE = r"(?P<phone>(?<![\w+.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]))"
 _IP = r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
-_NUMBERS = re.compile("|".join((_EMAIL, _SECRET, _IBAN, _CARD, _SSN, _PHONE, _IP)))
+_NUMBERS, _NUMBERS_SECRETS = (re.compile("|".join((_EMAIL, *more, _IBAN, _CARD, _SSN, _PHONE, _IP))) for more in ((), (_SECRET,)))
 _UPPER = "".join(filter(lambda c: c.isupper() and c.isalpha(), map(chr, range(0x20000))))
 _NAMES = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<name>[{_UPPER}][^\W\d_]*(?:[ -][{_UPPER}][^\W\d_]*)*)")
 _NO_DIGITS = bytes(i for i in range(256) if i not in b"0123456789@")
@@ -169,8 +170,9 @@ def _iban(s: str, key: bytes) -> str:
 
 
 def _secret(s: str, key: bytes) -> str:
-    if re.fullmatch(r"[0-9a-f]+", s):
-        return f"{among(int(s, 16), 16 ** len(s), key, f'hex{len(s)}'):0{len(s)}x}"
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
+        new = f"{among(int(s, 16), 16 ** len(s), key, f'hex{len(s)}'):0{len(s)}x}"
+        return new.upper() if s.isupper() else new
     return spelled(s, key, "secret")
 
 
@@ -211,11 +213,13 @@ def _valid(kind: str, s: str) -> bool:
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of the entities, in order, none overlapping; gender only for names after a title that has one."""
     found: list[tuple[int, int, str, str]] = []
-    if text.encode().translate(None, _NO_DIGITS):
-        at = 0
-        while m := _NUMBERS.search(text, at):
+    low = text.lower()
+    keyword = any(k in low for k in _KEYWORDS)
+    if keyword or text.encode().translate(None, _NO_DIGITS):
+        at, pattern = 0, _NUMBERS_SECRETS if keyword else _NUMBERS
+        while m := pattern.search(text, at):
             if _valid(m.lastgroup, m[0]):
-                found.append((m.start(), m.end(), m.lastgroup, ""))
+                found.append((*m.span("value" if m.lastgroup == "secret" else 0), m.lastgroup, ""))
                 at = m.end()
             else:  # another kind may begin inside
                 at = m.start() + 1

@@ -148,3 +148,13 @@ def test_names_of_any_number_of_words():
     assert [kind for kind, *_ in found] == ["name"] * 3 and [len(x.split()) for *_, x in found] == [1, 3, 2]
     assert "Smith" not in new and len({x.split()[-1] for *_, x in found}) == 1
     assert new.startswith("Mr. ") and " said hello. Dr. " in new and new.endswith(" did, but Mr. speaker and Miss out did not.")
+
+
+def test_secrets_however_written():
+    """Letter case, spacing and quotes of the keyword don't matter, nor whether the text has a digit elsewhere."""
+    for text in ('TOKEN = "9233A8BC17"', 'Password="correcthorse"', "api_key  :'abcdefghij'", '{"secret": "abcdefgh"}', 'x token: "qwertyuiop" y', 'API_KEY\t=\t"abcdefgh"'):
+        new, found = pii.replaced(text)
+        [(kind, start, end, surrogate)] = found
+        assert kind == "secret" and text[start - 1] == text[end] and text[start - 1] in "\"'" and len(surrogate) == end - start and surrogate != text[start:end]
+        assert new == text[:start] + surrogate + text[end:] and surrogate.isupper() == text[start:end].isupper()
+    assert pii.replaced("the token = short and a password of letters")[1] == []
