@@ -10,6 +10,8 @@ not the article are left out, and what stands in an `article` or `main` element
 repeats. On pages without such an element the suffix array alone decides about the other blocks.
 
 Hosts with more than `GROUP` pages are looked at in groups of about that many, so that no task holds all pages of a host.
+Runs that occur in several groups of a host are found by a shuffle of their hashes and sent back to the groups, so that the
+result doesn't depend on them.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,25 +155,50 @@ def repeated(streams: list[list[str]], depth: int = DEPTH) -> list[np.ndarray]:
     return [flags[a : a + n] for a, n in zip(place, size)]
 
 
-def main_texts(pages: list[str]) -> list[str]:
-    """The main text of each of some pages of one host."""
+def runs(stream: list[str], depth: int = DEPTH) -> np.ndarray:
+    """A hash of the run of `depth` tokens at each place of a stream that has one."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, stream), np.uint64, len(stream))
+    n = max(0, len(h) - depth + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(depth):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    return out.view(np.int64)
+
+
+def streamed(found: list[tuple[str, str, bool, bool]]) -> tuple[list[str], list[tuple[int, int]]]:
+    """The token stream of a page's blocks, and the span of each block's words in it."""
+    stream: list[str] = []
+    own = []
+    for text, path, _, _ in found:
+        words = text.split(" ")
+        stream.append("<" + path)
+        own.append((len(stream), len(stream) + len(words)))
+        stream += words
+    return stream, own
+
+
+def bare(found: list[tuple[str, str, bool, bool]]) -> bool:
+    """Whether a page has no article or main element, so that repeats decide."""
+    return not any(main and not apart for _, _, main, apart in found)
+
+
+def main_texts(pages: list[str], elsewhere: np.ndarray | None = None) -> list[str]:
+    """The main text of each of some pages of one host; `elsewhere`: hashes of runs that its other pages have too."""
     parsed = [blocks(p) for p in pages]
     streams, spans = [], []
     for found in parsed:
-        stream: list[str] = []
-        own = []
-        for text, path, _, _ in found:
-            words = text.split(" ")
-            stream.append("<" + path)
-            own.append((len(stream), len(stream) + len(words)))
-            stream += words
+        stream, own = streamed(found)
         streams.append(stream)
         spans.append(own)
     out = []
-    for found, own, cover in zip(parsed, spans, repeated(streams) if streams else [], strict=True):
-        if any(main and not apart for _, _, main, apart in found):
+    for found, own, stream, cover in zip(parsed, spans, streams, repeated(streams) if streams else [], strict=True):
+        if not bare(found):
             keep = [main and not apart for _, _, main, apart in found]
         else:
+            if elsewhere is not None and len(elsewhere):
+                cover = cover.copy()
+                for i in np.flatnonzero(np.isin(runs(stream), elsewhere)):
+                    cover[i : i + DEPTH] = True
             keep = [not apart and 2 * int(cover[a:b].sum()) <= b - a for (_, _, _, apart), (a, b) in zip(found, own, strict=True)]
         out.append(" ".join(x[0] for x, k in zip(found, keep, strict=True) if k))
     return out
@@ -182,12 +210,33 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([press.compress(t or b"") for t in texts(b.columns[-1])], pa.binary())], names=b.schema.names)
 
 
-def _extracted(table: pa.Table) -> pa.Table:
+def _pages(table: pa.Table | pa.RecordBatch) -> list[str]:
     unpack = zstandard.ZstdDecompressor()
-    found = main_texts([unpack.decompress(x).decode() for x in table.column("html").to_pylist()])
+    return [unpack.decompress(x).decode() for x in table.column("html").to_pylist()]
+
+
+def _extracted(table: pa.Table, elsewhere: pa.Table) -> pa.Table:
+    found = main_texts(_pages(table), elsewhere.column("run").to_numpy())
     return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(found, pa.string()), "n_chars": pa.array([len(x) for x in found], pa.int64())})
 
 
+def _bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hosts of pages without an article or main element."""
+    for b in batches:
+        hosts = {h for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if bare(blocks(page or ""))}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(hosts), pa.string())], names=["host"])
+
+
+def _runs(table: pa.Table) -> pa.Table:
+    """The distinct runs of a group of pages, and whether a page on which repeats decide has them."""
+    parsed = [blocks(p) for p in _pages(table)]
+    own = [runs(streamed(found)[0]) for found in parsed]
+    every = np.unique(np.concatenate(own))
+    asked = np.isin(every, np.concatenate([np.empty(0, np.int64), *(r for r, found in zip(own, parsed, strict=True) if bare(found))]))
+    same = lambda name: pa.array([table.column(name)[0].as_py()] * len(every), table.schema.field(name).type)
+    return pa.table({"host": same("host"), "part": same("part"), "run": pa.array(every), "asked": pa.array(asked)})
+
+
 def extracted(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of `pages` (page_id, url, html).
 
@@ -201,7 +250,13 @@ def extracted(pages: DataFrame, group: int = GROUP) -> DataFrame:
         groups = F.broadcast(groups)
     packed = rows.select("host", "page_id", "url", "html").mapInArrow(_packed, "host string, page_id long, url string, html binary")
     dealt = packed.join(groups, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")).cast("int"))
-    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    dealt = dealt.select("host", "part", "page_id", "url", "html", "groups")
+    # only hosts of several groups that have a page on which repeats decide
+    wanted = cut(rows.join(groups.where("groups > 1"), "host").select("host", "html").mapInArrow(_bare, "host string").distinct())
+    found = dealt.where("groups > 1").join(wanted, "host", "left_semi").drop("groups").repartition("host", "part").groupBy("host", "part").applyInArrow(_runs, "host string, part int, run long, asked boolean")
+    several = found.groupBy("host", "run").agg(F.count(F.lit(1)).alias("parts"), F.collect_list(F.when(F.col("asked"), F.col("part"))).alias("asking")).where("parts > 1")
+    elsewhere = several.select("host", F.explode("asking").alias("part"), "run")
+    return dealt.drop("groups").groupBy("host", "part").cogroup(elsewhere.groupBy("host", "part")).applyInArrow(_extracted, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,3 +158,14 @@ def test_secrets_however_written():
         assert kind == "secret" and text[start - 1] == text[end] and text[start - 1] in "\"'" and len(surrogate) == end - start and surrogate != text[start:end]
         assert new == text[:start] + surrogate + text[end:] and surrogate.isupper() == text[start:end].isupper()
     assert pii.replaced("the token = short and a password of letters")[1] == []
+
+
+def test_html_large_hosts(spark):
+    """A notice on a few pages of a host is found whatever the number of its groups, also where only one of the pages has no article."""
+    notice = " ".join(f"notice{i}" for i in range(30))
+    page = lambda i, more: f"<html><body><p>{' '.join(f'w{i}x{j}' for j in range(40))}</p>{more}</body></html>"
+    rows = [(i, "http://a.example/", page(i, f"<p>{notice}</p>" if i in (3, 17) else "")) for i in range(40)]
+    rows += [(40 + i, "http://b.example/", page(i, f"<p>{notice}</p>") if i == 5 else f"<article><p>{notice}</p></article>" if i == 9 else page(i, "")) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole, parts = ({r.page_id: r.text for r in html_text.extracted(pages, g).collect()} for g in (256, 2))
+    assert whole == parts and [i for i, t in parts.items() if "notice3" in t] == [49]
