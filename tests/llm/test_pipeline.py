@@ -5,7 +5,8 @@ import random
 import pandas as pd
 
 import corpus_pipeline
-from shiftlab.llm import decontaminate, pii, piece_model, quality, simhash
+from shiftlab.llm import banding, decontaminate, pii, piece_model, quality, simhash
+from shiftlab.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,15 +31,7 @@ def test_brute_force(spark):
 
 
 def corpus_brute(left):
-    fps = [simhash.fingerprint(t.encode(), 5) for t in left.text]
-    keys = [simhash.pieces(t.encode()) for t in left.text]
-    sets = [set(simhash.shingles(t.encode(), 5).tolist()) for t in left.text]
-    up = list(range(len(fps)))
-    for i in range(len(fps)):
-        for j in range(i):
-            if keys[i][0] == keys[j][0] or set(keys[i][1]) & set(keys[j][1]) and (fps[i] ^ fps[j]).bit_count() <= 14 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = up[i], up[j]
-                up = [min(a, b) if u in (a, b) else u for u in up]
+    up = jaccard_brute([set(simhash.shingles(t.encode(), 5).tolist()) for t in left.text])
     return [u == i for i, u in enumerate(up)]
 
 
@@ -101,3 +94,33 @@ def test_short_near_copies(spark):
     want = jaccard_brute([set(simhash.shingles(t.encode(), 5).tolist()) for t in texts])
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == want and len(set(want)) < 0.7 * len(want)
+
+
+def test_linked_beyond_the_centre(spark):
+    """Chains of sets in one bucket, of which the centre is near to a few only, and groups of copies, whatever the chunks."""
+    rng = random.Random(3)
+    sets, value = [], []
+    for bucket, n in enumerate((2, 3, 30, 60)):
+        fresh = iter(rng.sample(range(1 << 40), 2000))
+        own = [next(fresh) for _ in range(40)]
+        for _ in range(n):
+            sets.append(list(own))
+            value.append(bucket)
+            for at in rng.sample(range(40), rng.choice((1, 3, 5, 8))):
+                own[at] = next(fresh)
+    order = list(range(len(sets)))
+    rng.shuffle(order)
+    held = spark.createDataFrame([(i, sorted(sets[i])) for i in order], "hash long, shingles array<long>")
+    rows = [(value[i], i) for i in order] + [(100 + value[i], i) for i in order if i % 2]
+    met = banding.colliding(spark.createDataFrame(rows, "value long, hash long"))
+    edges = [{*x} for x in sets]
+    up = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if value[i] == value[j] and len(edges[i] & edges[j]) >= 0.8 * len(edges[i] | edges[j]) - 1e-9 and up[i] != up[j]:
+                a, b = up[i], up[j]
+                up = [min(a, b) if u in (a, b) else u for u in up]
+    assert len(set(up)) < len(up)
+    for chunk in (1024, 7):
+        found = {r.id: r.component for r in connected_components(banding.linked(met, held, 0.8, chunk)).collect()}
+        assert [found.get(i, i) for i in range(len(sets))] == up
