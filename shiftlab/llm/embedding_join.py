@@ -10,7 +10,8 @@ in double precision; of the blocks that find a pair, the first one counts it.
 
 Equal vectors are collapsed before. Tasks return for each vector how many it was linked to and
 one edge towards the smallest of its component there, never pairs, so that a group of near
-copies costs a row for each member. A cell of many vectors is cut into chunks that meet two by two.
+copies costs a row for each member. A cell of many vectors is cut into chunks that meet two by two;
+the numbers of rows in cells are counted before, so that no task is given a whole one.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import cut, forest
 from .components import connected_components
 
 COSINE, BLOCK, GRID, CHUNK, ROWS = 0.95, 8, 3, 8192, 256
+#: Cells of many vectors whose numbers of chunks are broadcast, of a few dozen bytes each.
+MAX_HOT = 100_000
 #: Added to budgets, in double and in single precision: far above rounding and far below what would let in many more candidates.
 SLACK, ROUGH = 1e-9, 1e-5
 _WIDTH = 1 << 10  # cells in each dimension of the grid, more than a unit vector can reach
@@ -53,6 +56,12 @@ def rotated(x: np.ndarray) -> np.ndarray:
     return y
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Doubles whose squares neither overflow nor vanish: each row times a power of two, which changes no cosine."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _budget(size: int, cosine: float) -> float:
     return (2 - 2 * cosine) * BLOCK / size + SLACK
 
@@ -76,8 +85,8 @@ def _cells(y: np.ndarray, block: int, cosine: float) -> tuple[np.ndarray, np.nda
     return np.concatenate(rows), np.concatenate(cells), np.concatenate(homes)
 
 
-def _spread(batches: Iterator[pa.RecordBatch], cosine: float, kind: str) -> Iterator[pa.RecordBatch]:
-    """(size, cell, home, id, n, vec) for the cells in which each vector is at home or a guest."""
+def _spread(batches: Iterator[pa.RecordBatch], cosine: float, kind: str, whole_rows: bool = True) -> Iterator[pa.RecordBatch]:
+    """(size, cell, home, id, n, vec) for the cells in which each vector is at home or a guest; (size, cell) alone without `whole_rows`."""
     for whole in batches:
         for i in range(0, whole.num_rows, ROWS):
             b = whole.slice(i, ROWS)
@@ -88,6 +97,9 @@ def _spread(batches: Iterator[pa.RecordBatch], cosine: float, kind: str) -> Iter
                 raw, y = [v.tobytes() for v in x], rotated(x)
                 for block in range(y.shape[1] // BLOCK):
                     row, cell, home = _cells(y, block, cosine)
+                    if not whole_rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), size, np.int32)), pa.array(cell)], names=["size", "cell"])
+                        continue
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(row), size, np.int32)), pa.array(cell), pa.array(home), pa.array(ids[own[row]]), pa.array(n[own[row]]), pa.array([raw[j] for j in row], pa.binary())],
                         names=["size", "cell", "home", "id", "n", "vec"],
@@ -105,7 +117,7 @@ def _linked(table: pa.Table, cosine: float, kind: str) -> pa.Table:
     y, block = rotated(x), cell >> 32
     along = y[:, block * BLOCK + GRID]  # in order of the next dimension, partners aren't farther off than the reach
     order = np.argsort(along, kind="stable")
-    ids, n, home, chunk, x, y, along = ids[order], n[order], home[order], chunk[order], x[order].astype(np.float64), y[order], along[order]
+    ids, n, home, chunk, x, y, along = ids[order], n[order], home[order], chunk[order], _scaled(x[order]), y[order], along[order]
     part, budget, blocks = y[:, block * BLOCK : (block + 1) * BLOCK].astype(np.float32), _budget(y.shape[1], cosine), y.shape[1] // BLOCK
     squares, one = (part * part).sum(axis=1, keepdims=True), np.ones((len(part), 1), np.float32)
     left, right = np.hstack([part * np.float32(-2), squares, one]), np.ascontiguousarray(np.hstack([part, one, squares]).T)
@@ -150,17 +162,22 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, chunk: int = CHU
     fit = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0)
     ok = F.coalesce(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & fit, F.lit(False))
     valid, rest = rows.where(ok), rows.where(~ok)
-    distinct = cut(valid.groupBy("e").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")))
-    placed = distinct.select("id", "n", "e").mapInArrow(lambda b: _spread(b, cosine, kind), "size int, cell long, home boolean, id long, n long, vec binary")
-    placed = placed.repartition("size", "cell")
-    counts = placed.groupBy("size", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    # a number for each distinct vector, fixed by the checkpoint, as ids may repeat
+    distinct = cut(valid.groupBy("e").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    source = distinct.select("id", "n", "e")
+    cells = source.mapInArrow(lambda b: _spread(b, cosine, kind, False), "size int, cell long")
+    hot = cut(cells.groupBy("size", "cell").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > chunk).select("size", "cell", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks")))
+    if hot.count() <= MAX_HOT:  # beyond, they meet by a shuffle
+        hot = F.broadcast(hot)
+    placed = source.mapInArrow(lambda b: _spread(b, cosine, kind), "size int, cell long, home boolean, id long, n long, vec binary")
+    split = placed.join(hot, ["size", "cell"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
-    dealt = placed.join(counts, ["size", "cell"]).withColumn("chunk", own).withColumn("pair", F.explode(pairs)).select("size", "cell", "pair.i", "pair.j", "chunk", "home", "id", "n", "vec")
+    dealt = split.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("pair", F.explode(pairs)).select("size", "cell", "pair.i", "pair.j", "chunk", "home", "id", "n", "vec")
     found = cut(dealt.groupBy("size", "cell", "i", "j").applyInArrow(lambda t: _linked(t, cosine, kind), "id long, links long, root long"))
     comps = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = distinct.join(links, "id", "left").join(comps, "id", "left").select("e", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    named = distinct.join(links, "id", "left").join(comps, "id", "left").select("e", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("e", "n_links", "component_id")
     linked = valid.join(named, "e").select("vec_id", "n_links", "component_id")
     alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
