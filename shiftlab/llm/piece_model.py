@@ -1,13 +1,17 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search over pieces.
 
-For a model whose pieces are made by merges, the segmentation of a text is the one path of
+The search goes over a text once and holds, of each place that a later piece can begin at (a window of the longest piece), the
+last piece of the surviving path to it. Whenever the backpointers from all of these meet at one boundary, the ids before it
+are committed. No more is kept than lies after that boundary.
+
+With a unigram model the surviving path to a place is the one of the best score, of equal ones the one with the longest last piece.
+
+A model whose pieces are made by merges doesn't choose by the sum of scores. Its segmentation of a text is the one path of
 pieces in which every two neighbours are stable: merging the characters of both, best score
 first and leftmost first, gives the two pieces again. Of the pieces that end at a place, exactly
 one is stable after the last piece of the path to where it begins, and that path survives. An
 automaton over the text tells the longest piece that ends at each place and how far back a piece
-that ends later can begin. The paths to the places from there on are those that later ones can extend; whenever their
-backpointers meet at one boundary, the ids before it are committed. No more is kept than lies
-after that boundary.
+that ends later can begin.
 
 Where no piece of the model can cross a place (before a white space that follows another
 character) all paths meet, so words are searched one by one and repeated words looked up.
@@ -18,7 +22,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from importlib import import_module
 
 import numpy as np
 import pyarrow as pa
@@ -28,31 +31,34 @@ from pyspark.sql import functions as F
 from .common import documents
 
 SPACE = "▁"
-#: Words that a worker remembers, and the longest of them; pairs of pieces; characters after which a search tries to commit.
-MEMORY, LONGEST, PAIRS, STEP = 300_000, 64, 2_000_000, 64
+#: Words that a worker remembers, and the longest of them; pairs of pieces, and steps of the automaton.
+MEMORY, LONGEST, PAIRS, STEPS = 300_000, 64, 2_000_000, 2_000_000
+#: What an unknown character's score is below the least, as the library has it.
+UNKNOWN = 10.0
 
 
 def model_bytes(path: str | None = None) -> bytes:
-    """The model file at `path`, on the driver; the public 32k-piece model by default."""
-    with open(path or import_module("public_tokenizers").path("piece_bpe_32k.model"), "rb") as f:
-        return f.read()
+    """The model file at `path`, on the driver; by default the 32k-piece model of the module `public_tokenizers`, which is needed for that alone."""
+    if path is None:
+        from public_tokenizers import path as place
 
+        path = place("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        return f.read()
 
-class Pieces:
-    """The pieces of a serialised model of the merging kind with byte fallback and no normalisation."""
 
-    def __init__(self, serialised: bytes):
-        from sentencepiece import sentencepiece_model_pb2 as pb
+class Model:
+    """The pieces of a model that doesn't normalise. Characters that no piece has are spelled in bytes, or are the unknown piece (one for several in a row) where the model has no bytes."""
 
-        proto = pb.ModelProto()
-        proto.ParseFromString(serialised)
-        if proto.trainer_spec.model_type != proto.trainer_spec.BPE or proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces:
-            raise ValueError("only models of the merging kind that don't normalise are supported")
+    def __init__(self, proto):
+        if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces:
+            raise ValueError("only models that don't normalise are supported")
         self.prefix = proto.normalizer_spec.add_dummy_prefix
         self.score = {x.piece: x.score for x in proto.pieces if x.type == x.NORMAL}
-        self.byte_ids = [0] * 256
+        self.byte_ids, self.unknown = [0] * 256, next((i for i, x in enumerate(proto.pieces) if x.type == x.UNKNOWN), 0)
+        self.bytes = any(x.type == x.BYTE for x in proto.pieces)
         self.raw: list[bytes] = []
-        ids = {}
+        self.ids = ids = {}
         for i, x in enumerate(proto.pieces):
             if x.type == x.BYTE:
                 self.byte_ids[int(x.piece[3:5], 16)] = i
@@ -64,6 +70,92 @@ class Pieces:
                 self.raw.append(b"")
         self.text = [x.piece for x in proto.pieces]
         self.crosses = any(SPACE in x.lstrip(SPACE) for x in ids)
+        self.longest = max(map(len, ids), default=1)
+        self.words: dict[str, bytes] = {}
+
+    def search(self, s: str) -> Iterator[list[int]]:
+        raise NotImplementedError
+
+    def _unknown(self, c: str) -> list[int]:
+        return [self.byte_ids[x] for x in c.encode()] if self.bytes else [self.unknown]
+
+    def _word(self, w: str) -> bytes:
+        """The ids of one word with the space before it, as 32-bit integers."""
+        found = np.array([i for part in self.search(w) for i in part], dtype="<i4").tobytes()
+        if len(w) <= LONGEST:
+            if len(self.words) >= MEMORY:
+                self.words.clear()
+            self.words[w] = found
+        return found
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a whole text; none for an empty one."""
+        if not text:
+            return np.zeros(0, "<i4")
+        s = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        words = [s] if self.crosses else re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", s)
+        get, word = self.words.get, self._word
+        ids = np.frombuffer(b"".join([x if (x := get(w)) is not None else word(w) for w in words]), dtype="<i4")
+        return ids if self.bytes else ids[np.append(True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown))[: len(ids)]]
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids; control pieces and the unknown piece have none. Bytes that aren't UTF-8 become U+FFFD."""
+        raw = self.raw
+        b = b"".join([raw[i] for i in ids])
+        return (b[1:] if self.prefix and b[:1] == b" " else b).decode("utf-8", "replace")
+
+
+class Unigram(Model):
+    """The pieces of a unigram model."""
+
+    def __init__(self, proto):
+        super().__init__(proto)
+        self.low = min(self.score.values(), default=0.0) - UNKNOWN
+
+    def search(self, s: str) -> Iterator[list[int]]:
+        """The ids of `s`, in parts as they are committed."""
+        score, longest, low = self.score.get, self.longest, self.low
+        base, best, size = 0, [0.0], [0]  # the last boundary; of each place from there on the score of its path and the length of its last piece
+        for end in range(1, len(s) + 1):
+            top, own = -np.inf, 1
+            for n in range(min(longest, end - base), 0, -1):
+                x = score(s[end - n : end])
+                if x is None:
+                    if n > 1:
+                        continue
+                    x = low
+                if best[end - n - base] + x > top:
+                    top, own = best[end - n - base] + x, n
+            best.append(top)
+            size.append(own)
+            if end % longest == 0:
+                alive = {*range(max(base, end + 1 - longest), end + 1)}
+                while len(alive) > 1:
+                    k = max(alive)
+                    alive.remove(k)
+                    alive.add(k - size[k - base])
+                met = alive.pop()
+                if met > base:
+                    yield self._path(s, base, met, size)
+                    best, size, base = best[met - base :], size[met - base :], met
+        yield self._path(s, base, len(s), size)
+
+    def _path(self, s: str, base: int, end: int, size: list[int]) -> list[int]:
+        out = []
+        while end > base:
+            begin = end - size[end - base]
+            i = self.ids.get(s[begin:end])
+            out += self._unknown(s[begin])[::-1] if i is None else [i]
+            end = begin
+        return out[::-1]
+
+
+class Pieces(Model):
+    """The pieces of a model of the merging kind."""
+
+    def __init__(self, proto):
+        super().__init__(proto)
+        ids = self.ids
         made = {x: i for x, i in ids.items() if len(x) == 1 or self.merged(x) == [x]}  # merging never makes the others
         # states of the automaton: the beginnings of pieces
         self.states = {x: i for i, x in enumerate({"": 0} | {x[:n]: 0 for x in ids for n in range(1, len(x) + 1)})}
@@ -75,8 +167,7 @@ class Pieces:
         self.size = [len(x) for x in self.text]
         self.next: list[dict[str, int]] = [{} for _ in self.named]
         self.stable: list[dict[int, bool]] = [{} for _ in self.text]
-        self.pairs = 0
-        self.words: dict[str, bytes] = {}
+        self.pairs = self.steps = 0
 
     def merged(self, s: str) -> list[str]:
         """The pieces of a short string by merging pair after pair."""
@@ -103,6 +194,11 @@ class Pieces:
         x = self.named[state] + c
         while x not in self.states:
             x = x[1:]
+        self.steps += 1
+        if self.steps > STEPS:
+            self.steps = 1
+            for known in self.next:
+                known.clear()
         self.next[state][c] = found = self.states[x]
         return found
 
@@ -116,7 +212,7 @@ class Pieces:
             state = to if to is not None else self._next(state, c)
             t = ends[state]
             if t < 0:  # a character that no piece has; every path ends before it
-                yield self._path(last, len(last) - 1) + [self.byte_ids[x] for x in c.encode()]
+                yield self._path(last, len(last) - 1) + self._unknown(c)
                 last = [-1]
                 continue
             at = len(last)
@@ -129,7 +225,7 @@ class Pieces:
                     break
                 t = shorter[t]
             last.append(t)
-            if at % STEP == 0:
+            if at % self.longest == 0:
                 alive = {*range(at - min(at, self.depth[state]), at + 1)}
                 while len(alive) > 1:
                     k = max(alive)
@@ -147,34 +243,18 @@ class Pieces:
             end -= self.size[last[end]]
         return out[::-1]
 
-    def _word(self, w: str) -> bytes:
-        """The ids of one word with the space before it, as 32-bit integers."""
-        found = np.array([i for part in self.search(w) for i in part], dtype="<i4").tobytes()
-        if len(w) <= LONGEST:
-            if len(self.words) >= MEMORY:
-                self.words.clear()
-            self.words[w] = found
-        return found
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text; none for an empty one."""
-        if not text:
-            return np.zeros(0, "<i4")
-        s = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        words = [s] if self.crosses else re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", s)
-        get, word = self.words.get, self._word
-        return np.frombuffer(b"".join([x if (x := get(w)) is not None else word(w) for w in words]), dtype="<i4")
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; control pieces and the unknown piece have none. Bytes that aren't UTF-8 become U+FFFD."""
-        raw = self.raw
-        b = b"".join([raw[i] for i in ids])
-        return (b[1:] if self.prefix and b[:1] == b" " else b).decode("utf-8", "replace")
-
 
 @lru_cache(2)
-def pieces(serialised: bytes) -> Pieces:
-    return Pieces(serialised)
+def pieces(serialised: bytes) -> Model:
+    """The pieces of a serialised model."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(serialised)
+    kinds = {proto.trainer_spec.UNIGRAM: Unigram, proto.trainer_spec.BPE: Pieces}
+    if proto.trainer_spec.model_type not in kinds:
+        raise ValueError("only unigram and merging models are supported")
+    return kinds[proto.trainer_spec.model_type](proto)
 
 
 def encoded(docs: DataFrame, model: bytes | None = None, text: str = "text", verify: bool = True) -> DataFrame:
