@@ -1,11 +1,14 @@
 """PII surrogates: detected entities get keyed replacements of the same type and format.
 
-Replacements come from keyed permutations of all entities of one form (a balanced walk of
-Feistel rounds over the characters' classes), so two entities never share a replacement and one
-entity has the same replacement in every document and task, without any table of what was
+Replacements come from keyed permutations of all entities of one form: Feistel rounds over the characters'
+classes, one step on, and the rounds back, which is one cycle through all of them. So two entities never share a replacement, none is its
+own, and one entity has the same replacement in every document and task, without any table of what was
 replaced. What identifies the form stays: punctuation, lengths, letter case, an address's range, a
 telephone's country code, a card's first digit and valid check digit, a name's gender and script.
 
+A name is found behind a title; in the rest of its document its words are replaced too, as they are there, without one.
+The key is a parameter, or the session's `spark.shiftlab.pii.key`, so that surrogates can't be traced back without it.
+
 Entities of the same identity are replaced alike however they are written: spacing and
 punctuation in numbers and letter case in addresses don't matter.
 """
@@ -13,6 +16,7 @@ punctuation in numbers and letter case in addresses don't matter.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
+#: The key where neither a parameter nor the session gives one, for tests.
 KEY = b"shiftlab surrogate key"
 ROUNDS = 8
 
@@ -41,8 +46,11 @@ CLASSES = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåæèéê
 _CLASS = {c: letters for letters in CLASSES for c in letters}
 
 _EMAIL = r"(?P<email>(?<![\w.+-])\w[\w.+-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[A-Za-z]{2,}(?![\w-]))"
-_KEYWORDS = ("token", "secret", "api_key", "apikey", "password")
-_SECRET = rf"""(?P<secret>(?i:{'|'.join(_KEYWORDS)})["']?\s*[:=]\s*(?P<quote>["'])(?P<value>[\w+/=.-]{{8,}})(?=(?P=quote)))"""
+# Words that secrets stand behind, and beginnings of access keys.
+_KEYWORDS = ("token", "secret", "api_key", "apikey", "api-key", "access_key", "password", "passwd")
+_BEGINNINGS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "xoxb-", "xoxp-", "sk-")
+_GATES = (*_KEYWORDS, "bearer", *map(str.lower, _BEGINNINGS))
+_SECRET = rf"""(?P<secret>(?i:{'|'.join(_KEYWORDS)})["']?\s*[:=]\s*(?:(?P<quote>["'])(?P<quoted>[\w+/=.-]{{8,}})(?=(?P=quote))|(?P<plain>(?=[\w+/=.-]{{0,256}}\d)[\w+/=-](?:[\w+/=.-]{{10,}})[\w+/=-](?![\w(])))|(?i:bearer)\s+(?P<bearer>(?=[\w+/=.~-]{{0,256}}\d)[\w+/=.~-]{{15,}}[\w+/=-])|(?<!\w)(?:{'|'.join(_BEGINNINGS)})(?P<access>[\w-]{{16,}}))"""
 _IBAN = r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
 _CARD = r"(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
 _SSN = r"(?P<ssn>(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-]))"
@@ -51,6 +59,8 @@ _IP = r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\
 _NUMBERS, _NUMBERS_SECRETS = (re.compile("|".join((_EMAIL, *more, _IBAN, _CARD, _SSN, _PHONE, _IP))) for more in ((), (_SECRET,)))
 _UPPER = "".join(filter(lambda c: c.isupper() and c.isalpha(), map(chr, range(0x20000))))
 _NAMES = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<name>[{_UPPER}][^\W\d_]*(?:[ -][{_UPPER}][^\W\d_]*)*)")
+_CAPITAL = re.compile(rf"(?<!\w)[{_UPPER}][^\W\d_]*(?!\w)")
+_VALUES = ("quoted", "plain", "bearer", "access")
 _NO_DIGITS = bytes(i for i in range(256) if i not in b"0123456789@")
 
 
@@ -73,18 +83,28 @@ def _round(key: bytes, about: str, i: int, a: int, b: int, side: int, x: int) ->
     return int.from_bytes(blake2b(f"{about}|{i}|{a}|{b}|{side}|{x}".encode(), key=key, digest_size=64).digest(), "big")
 
 
+def stepped(x: int, sizes: tuple[int, int], key: bytes, about: str) -> int:
+    """The number after x on a keyed cycle through all of range(sizes[0] * sizes[1])."""
+    a, b = sizes
+    left, right = divmod((permuted(x, sizes, key, about) + 1) % (a * b), b)
+    for i in reversed(range(ROUNDS)):
+        right = (right - _round(key, about, i, a, b, 1, left)) % b
+        left = (left - _round(key, about, i, a, b, 0, right)) % a
+    return left * b + right
+
+
 def among(x: int, n: int, key: bytes, about: str, allowed: Callable[[int], bool] = lambda _: True) -> int:
-    """A keyed permutation of those numbers below n that are allowed, by walking on until it meets one."""
+    """The number after x on a keyed cycle through those below n that are allowed; never x unless it is the only one."""
     half = max(1, n.bit_length() // 2)
     sizes = (1 << half, -(-n // (1 << half)))
     while True:
-        x = permuted(x, sizes, key, about)
+        x = stepped(x, sizes, key, about)
         if x < n and allowed(x):
             return x
 
 
 def spelled(text: str, key: bytes, about: str, allowed: Callable[[str], bool] = lambda _: True) -> str:
-    """A keyed permutation of the strings whose characters have the same classes; others stay. Upper case stays upper case."""
+    """The string after this one on a keyed cycle through those whose characters have the same classes; characters without one stay. Upper case stays upper case."""
     low = [c.lower() if len(c.lower()) == 1 else c for c in text]
     at = [i for i, c in enumerate(low) if c in _CLASS]
     half = (len(at) + 1) // 2
@@ -101,7 +121,7 @@ def spelled(text: str, key: bytes, about: str, allowed: Callable[[str], bool] =
     (x, a), (y, b) = pack(at[:half]), pack(at[half:])
     v = x * b + y
     while True:
-        v = permuted(v, (a, b), key, form)
+        v = stepped(v, (a, b), key, form)
         out, z = list(low), v
         for i in reversed(at):
             z, k = divmod(z, len(_CLASS[low[i]]))
@@ -210,28 +230,59 @@ def _valid(kind: str, s: str) -> bool:
     return kind != "phone" or 9 <= sum(map(str.isdigit, s)) <= 15
 
 
+def _mentions(text: str, names: list[tuple[int, int, str, str]]) -> Iterator[tuple[int, int, str, str]]:
+    """The words of detected names wherever they stand in the text, those side by side together; the gender is that of the first name that has the word."""
+    gender: dict[str, str] = {}
+    for start, end, _, g in names:
+        for word in re.split("[ -]", text[start:end]):
+            if len(word) > 1:
+                gender.setdefault(word.lower(), g)
+    begin = stop = 0
+    own = ""
+    for m in _CAPITAL.finditer(text):
+        word = m[0].lower()
+        if word not in gender:
+            continue
+        if stop and m.start() == stop + 1 and text[stop] in " -" and (gender[word] == own or not gender[word]):
+            stop = m.end()
+            continue
+        if stop:
+            yield begin, stop, "name", own
+        begin, stop, own = *m.span(), gender[word]
+    if stop:
+        yield begin, stop, "name", own
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of the entities, in order, none overlapping; gender only for names after a title that has one."""
     found: list[tuple[int, int, str, str]] = []
     low = text.lower()
-    keyword = any(k in low for k in _KEYWORDS)
+    keyword = any(k in low for k in _GATES)
     if keyword or text.encode().translate(None, _NO_DIGITS):
         at, pattern = 0, _NUMBERS_SECRETS if keyword else _NUMBERS
         while m := pattern.search(text, at):
-            if _valid(m.lastgroup, m[0]):
-                found.append((*m.span("value" if m.lastgroup == "secret" else 0), m.lastgroup, ""))
+            kind = "secret" if m.re is _NUMBERS_SECRETS and m["secret"] else m.lastgroup
+            if _valid(kind, m[0]):
+                found.append((*m.span(next(g for g in _VALUES if m[g]) if kind == "secret" else 0), kind, ""))
                 at = m.end()
             else:  # another kind may begin inside
                 at = m.start() + 1
                 while at < m.end() and text[at].isdigit():
                     at += 1
     if any(t in text for t in TITLES):
-        for m in _NAMES.finditer(text):
-            if not any(s < m.end("name") and m.start("name") < e for s, e, *_ in found):
-                found.append((m.start("name"), m.end("name"), "name", TITLES[m["title"]]))
+        names = _apart(found, [(*m.span("name"), "name", TITLES[m["title"]]) for m in _NAMES.finditer(text)])
+        found = sorted(found + names)
+        found += _apart(found, list(_mentions(text, names)) if names else [])
     return sorted(found)
 
 
+def _apart(found: list[tuple[int, int, str, str]], more: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Those of `more` that don't overlap any of the sorted and disjoint `found`."""
+    starts = [x[0] for x in found]
+    free = lambda x, k: (k == 0 or found[k - 1][1] <= x[0]) and (k == len(found) or found[k][0] >= x[1])
+    return [x for x in more if free(x, bisect_left(starts, x[0]))]
+
+
 def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with surrogates, and (kind, start, end in the old text, surrogate) of each."""
     out, at, entities = [], 0, []
@@ -247,11 +298,14 @@ ENTITIES = "array<struct<kind: string, start: int, end: int, surrogate: string>>
 _ENTITIES = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
 
 
-def surrogates(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def surrogates(docs: DataFrame, text: str = "text", key: bytes | None = None) -> DataFrame:
     """`docs` with its text replaced and a column `pii_entities` (one of that name is replaced); rows, order of columns and other values stay.
 
     A null text stays null and an empty one empty, both without entities. Start and end count code points of the old text.
     """
+    if key is None:
+        own = docs.sparkSession.conf.get("spark.shiftlab.pii.key", None)
+        key = own.encode()[:64] if own else KEY
     docs = docs.drop("pii_entities")
     at = docs.columns.index(text)
     docs = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
@@ -267,7 +321,7 @@ def surrogates(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFra
     return docs.mapInArrow(run, schema)
 
 
-def collisions(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def collisions(docs: DataFrame, text: str = "text", key: bytes | None = None) -> DataFrame:
     """(kind, surrogate, n): surrogates that stand for more than one entity, letter case and punctuation aside; none by construction."""
     found = surrogates(docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{text}`").alias("old")), "text", key)
     e = found.select("old", F.explode("pii_entities").alias("e")).select("e.kind", F.expr("substring(old, e.start + 1, e.end - e.start)").alias("old"), "e.surrogate")
