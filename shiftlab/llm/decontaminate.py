@@ -5,7 +5,8 @@ occurs in a document if some part of it is within k = floor(error * m) edits of
 least m + 1 - q * (k + 1) of the item's q-grams, and all of them on diagonals (place in the
 document minus place in the item) that differ by k at most, so that one of the overlapping
 bands of 2k+1 diagonals, taken at every k+1, holds them all. Bands that hold as many are retained and an
-alignment confined to the band decides.
+alignment confined to the band decides. The lemma holds for any q: items that are too short for `Q` (less than q * (k + 1) bytes) get the largest q
+that leaves a q-gram to ask for, down to their own length, and an index of their own.
 
 The index of the benchmark is broadcast in parts of at most `MAX_INDEX` bytes of text; each
 part beyond the first is another pass over the documents.
@@ -56,12 +57,23 @@ class Index:
     q: int
 
 
-def build(rows: list[tuple[int, bytes]], q: int = Q, error: float = ERROR) -> Index:
-    """Items whose budget leaves the lemma no q-gram to ask for get the largest budget that leaves one; items shorter than q can't be found and are left out."""
-    kept = sorted((i, line) for i, text in rows if len(line := normalised(text)) >= q)
+def build(rows: list[tuple[int, bytes]], q: int = Q, error: float = ERROR) -> list[Index]:
+    """The indexes of the items, one for each q that some of them need, all with the budget that their length gives. An item without a word is left out."""
+    by_q: dict[int, list[tuple[int, bytes]]] = {}
+    for i, text in rows:
+        if line := normalised(text):
+            budget = int(error * len(line))
+            fits = min(q, len(line) // (budget + 1))
+            if not fits:
+                raise ValueError("an error of one edit for each byte leaves no q-gram")
+            by_q.setdefault(fits, []).append((i, line))
+    return [_index(sorted(kept), own, error) for own, kept in sorted(by_q.items())]
+
+
+def _index(kept: list[tuple[int, bytes]], q: int, error: float) -> Index:
     ids, items = [i for i, _ in kept], [x for _, x in kept]
     size = np.array([len(x) for x in items], dtype=np.int64)
-    budget = np.minimum((error * size).astype(np.int64), size // q - 1)
+    budget = (error * size).astype(np.int64)
     needed = size + 1 - q * (budget + 1)
     g = [_grams(x, q) for x in items]
     grams = np.concatenate(g) if g else np.zeros(0, np.uint64)
@@ -151,8 +163,12 @@ def _banded(lines: list[bytes], index: Index, begin: int) -> list[tuple[int, int
     return [(int(p) // n_items, int(p) % n_items, int(b)) for p, b in zip(pair[enough], band[enough], strict=True)]
 
 
-def matches(lines: list[bytes], index: Index) -> list[tuple[int, int, int, int, int]]:
+def matches(lines: list[bytes], indexes: list[Index]) -> list[tuple[int, int, int, int, int]]:
     """(line, item id, start, end, edits): of each item the best place in each normalised text that holds it, the first of equal ones."""
+    return sorted(x for index in indexes for x in _matches(lines, index))
+
+
+def _matches(lines: list[bytes], index: Index) -> list[tuple[int, int, int, int, int]]:
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     whole: dict[tuple[int, int], int] = {}
     for i, item, band in _retained(lines, index):
@@ -169,7 +185,7 @@ def matches(lines: list[bytes], index: Index) -> list[tuple[int, int, int, int,
         if found := align(p, text, low, low + 4 * k + 1, k):
             start, end, edits = found
             best[i, item] = min(best.get((i, item), (edits, start, end)), (edits, start, end))
-    return sorted((i, index.ids[item], start, end, edits) for (i, item), (edits, start, end) in best.items())
+    return [(i, index.ids[item], start, end, edits) for (i, item), (edits, start, end) in best.items()]
 
 
 def _parts(benchmark: DataFrame, max_index: int) -> Iterator[list[tuple[int, bytes]]]:
@@ -184,8 +200,8 @@ def _parts(benchmark: DataFrame, max_index: int) -> Iterator[list[tuple[int, byt
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, error: float = ERROR, max_index: int = MAX_INDEX) -> DataFrame:
     """(doc_id, item_id, start, end, edits) for each pair of a document and an item that it holds; start and end count bytes of the normalised text.
 
-    Null and empty texts and rows without an id hold nothing; null items and items shorter
-    than q bytes can't be found. A doc_id or item_id that repeats gives a row for each text
+    Null and empty texts and rows without an id hold nothing; null items and items
+    without a word aren't found. A doc_id or item_id that repeats gives a row for each text
     that matches. An empty table on either side gives no rows.
     """
     spark, rows = docs.sparkSession, id_text(docs).where("doc_id is not null and text is not null")

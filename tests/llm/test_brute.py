@@ -115,7 +115,7 @@ def test_op7(spark, frame):
         t = letters(rng.randint(0, 60)) + bytes(q) + letters(rng.randint(0, 60))
         index = decontaminate.build([(7, p)])
         d, got = edits(p, t), decontaminate.matches([b"other text", t], index)
-        assert bool(got) == (d <= int(index.budget[0])) and (not got or got[0][4] == d)
+        assert bool(got) == (d <= int(index[0].budget[0])) and (not got or got[0][4] == d)
         hits += bool(got)
     assert hits > 60
     got = {(r.doc_id, r.item_id) for r in decontaminate.op7_decontaminate(spark, SF).collect()}
