@@ -7,9 +7,10 @@ passage of 50 words holds several anchors, the same ones in all documents; a run
 one at its start and one at every `MIN_WORDS` further.
 
 Lines get MinHash signatures over shingles of five words, in `BANDS` bands of `BAND_ROWS`: of two lines with
-a Jaccard similarity of 0.8 all but 0.08 % collide in a band. Colliding lines are verified by
-their exact Jaccard similarity, and clustered by connected components of the verified links. Windows must be equal, so that
-their hash is their cluster. Of each cluster the first place (by doc_id, then by word) stays.
+a Jaccard similarity of 0.8 all but 0.08 % agree in a band. Where they meet, their exact Jaccard similarity
+decides, and connected components of the verified links are the clusters. A window has 20 shingles, of which two at most could
+differ at that similarity, so windows must be equal, and their hash, the one band of all shingles, is their cluster. Of each
+cluster the first place (by doc_id, then by word) stays.
 
 Equal paragraphs are collapsed before, and only paragraphs that collide are looked at again.
 """
@@ -25,28 +26,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, forest, id_text, released, texts, written
+from .banding import CHUNK, band_hashes, colliding, linked, mixed, multipliers
+from .common import cut, documents, id_text, texts, written
 from .components import connected_components
 
 SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 10, 3
-MIN_WORDS, AROUND = 24, 3
-CHUNK = 2048
-_RNG = np.random.default_rng(42)
-_MIXES = _RNG.integers(0, 1 << 63, (BANDS * BAND_ROWS, 2), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-_PLACE = _RNG.integers(0, 1 << 63, MIN_WORDS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+MIN_WORDS, AROUND = 24, 4
+_MIXES = multipliers(BANDS, BAND_ROWS)
+_PLACE = np.random.default_rng(43).integers(0, 1 << 63, MIN_WORDS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Words that are looked at together.
 PIECE = 1 << 18
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
 def _hashes(text: bytes) -> np.ndarray:
     words = text.lower().split()
-    return _mix(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+    return mixed(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
 
 
 def _rolled(h: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -55,7 +50,7 @@ def _rolled(h: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarr
     out = np.full(len(at), width, np.uint64)
     for k in range(width):
         out += h[at + k] * _PLACE[k]
-    return _mix(out)
+    return mixed(out)
 
 
 def anchors(h: np.ndarray) -> np.ndarray:
@@ -84,16 +79,7 @@ def _lines(text: bytes) -> np.ndarray:
 def _bands(h: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """The band hashes of the lines."""
     s = _rolled(h, SHINGLE)
-    out = np.empty((len(spans), BANDS), np.uint64)
-    for i, (a, b) in enumerate(spans):
-        least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
-        for k in range(a, b - SHINGLE + 1, 4096):
-            part = s[k : min(k + 4096, b - SHINGLE + 1)]
-            x = part[:, None] * _MIXES[None, :, 0] + _MIXES[None, :, 1]
-            least = np.minimum(least, x.min(axis=0))
-        rows = least.reshape(BANDS, BAND_ROWS)
-        out[i] = _mix((_mix(rows) * _PLACE[:BAND_ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-    return out
+    return np.stack([band_hashes(s[a : b - SHINGLE + 1], _MIXES, BANDS) for a, b in spans])
 
 
 _BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
@@ -129,18 +115,6 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(rows)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) from each line of a bucket to the one before it, the buckets of one partition being whole."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if parts:
-        value, line = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((line, value))
-        value, line = value[order], line[order]
-        same = np.flatnonzero((value[1:] == value[:-1]) & (line[1:] != line[:-1]))
-        a, b = forest(line[same], line[same + 1])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, shingles): the sorted distinct shingle hashes of each wanted line."""
     for b in batches:
@@ -151,60 +125,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = h[w["start"] : w["end"]]
                 if np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64) == w["hash"]:
                     hashes.append(w["hash"])
-                    sets.append(np.unique(_rolled(own, SHINGLE)).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(sets, pa.binary())], names=["hash", "shingles"])
-
-
-def _verified(table: pa.Table, similarity: float) -> pa.Table:
-    """Edges (a, b) that connect the lines of a group (or of two chunks of one) whose exact Jaccard similarity is high enough."""
-    first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    ids, chunk = table.column("hash").to_numpy(), table.column("chunk").to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-    sizes = np.array([len(x) for x in sets])
-    owner, shingles = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
-    distinct, inv = np.unique(shingles, return_inverse=True)
-    order = np.argsort(inv, kind="stable")
-    posting, at = owner[order], np.searchsorted(inv[order], np.arange(len(distinct) + 1))
-    label, a, b = np.arange(len(sets)), [], []
-    place = np.append(0, np.cumsum(sizes))
-    for i in range(len(sets)):
-        held = inv[place[i] : place[i + 1]]
-        lengths = at[held + 1] - at[held]
-        where = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(at[held], lengths)
-        shared = np.bincount(posting[where], minlength=len(sets))
-        near = shared >= similarity * (sizes + sizes[i] - shared) - 1e-9
-        near[: i + 1] = False
-        near &= label != label[i]
-        if first != second:
-            near &= chunk != chunk[i]
-        for j in np.flatnonzero(near):
-            if label[j] != label[i]:
-                a.append(ids[i])
-                b.append(ids[j])
-                label[label == label[j]] = label[i]
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def verified(members: DataFrame, groups: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) that connect the members (hash, component, shingles) of each component whose exact Jaccard similarity is high enough. `groups` holds the components again, without the shingles."""
-    counts = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("chunks"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
-    dealt = members.join(counts, "component").withColumn("chunk", F.pmod(F.xxhash64("hash"), F.col("chunks")).cast("int")).withColumn("pair", F.explode(pairs)).select("component", "pair.i", "pair.j", "chunk", "hash", "shingles")
-    return dealt.groupBy("component", "i", "j").applyInArrow(lambda t: _verified(t, similarity), "a long, b long")
+                    sets.append(np.unique(_rolled(own, SHINGLE)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["hash", "shingles"])
 
 
 def _line_clusters(docs: DataFrame, lines: DataFrame, similarity: float, chunk: int) -> DataFrame:
     """(hash, cluster) of the distinct lines that are near another."""
     distinct = lines.groupBy("hash").agg(*[F.first(c).alias(c) for c in _BAND_COLUMNS])
-    buckets = distinct.select(F.explode(F.array(*_BAND_COLUMNS)).alias("value"), "hash")
-    groups = connected_components(buckets.repartition("value").mapInArrow(_stars, "a long, b long"))
-    groups = cut(groups.unionByName(groups.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("id", "hash"))
-    places = lines.select("hash", "doc_id", "start", "end").join(groups.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("doc_id", "start", "end")).alias("p"))
+    met = colliding(distinct.select(F.explode(F.array(*_BAND_COLUMNS)).alias("value"), "hash"))
+    places = lines.select("hash", "doc_id", "start", "end").join(met.select("hash").distinct(), "hash").groupBy("hash").agg(F.min(F.struct("doc_id", "start", "end")).alias("p"))
     wanted = places.groupBy("p.doc_id").agg(F.collect_list(F.struct("hash", "p.start", "p.end")).alias("wanted"))
     # of rows that repeat an id with other texts, only those that hold the line have it
-    sets = docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_sets, "hash long, shingles binary").groupBy("hash").agg(F.max("shingles").alias("shingles"))
-    edges = verified(groups.join(sets, "hash"), groups, similarity, chunk)
-    return connected_components(edges).select(F.col("id").alias("hash"), F.col("component").alias("cluster"))
+    sets = written(docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_sets, "hash long, shingles array<long>").dropDuplicates(["hash"]))
+    return connected_components(linked(met, sets, similarity, chunk)).select(F.col("id").alias("hash"), F.col("component").alias("cluster"))
 
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
@@ -217,14 +150,12 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK)
     units = written(docs.mapInArrow(_units, _UNITS))
     lines, windows = units.where("b0 is not null"), units.where("b0 is null").select("doc_id", "start", F.col("hash").alias("cluster"))
     clusters = _line_clusters(docs, lines, similarity, chunk)
-    released(docs.sparkSession)
     # every line belongs to the cluster of its own hash at least
     named = lines.select("doc_id", "start", "end", "hash").join(clusters, "hash", "left").select("doc_id", "start", "end", F.coalesce("cluster", "hash").alias("cluster"))
     out = None
     for part in (windows, named):
         several = part.groupBy("cluster").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("other")).where("head < other").select("cluster", "head")
         members = cut(part.join(several, "cluster").distinct())
-        released(docs.sparkSession)
         starts = members.where("doc_id = head").groupBy("cluster").agg(F.min("start").alias("from"))
         end = F.col("end") if "end" in part.columns else F.col("start") + MIN_WORDS
         one = members.join(starts, "cluster").select("doc_id", "start", end.alias("end"), "cluster", ((F.col("doc_id") == F.col("head")) & (F.col("start") == F.col("from"))).alias("first"))
