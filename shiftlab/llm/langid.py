@@ -10,7 +10,6 @@ At most `max_labelled` documents are learned from (those with the smallest hash
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +23,6 @@ from .common import documents, remainder, texts
 BITS, MAX_LABELLED, MAX_LANGUAGES = 16, 20_000, 1000
 #: Characters that are looked at together.
 PIECE = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
 _SPACE = np.arange(128, dtype=np.uint32)
 _SPACE[[i for i in range(128) if not chr(i).isalpha()]] = 32
 _MIX = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917)]
@@ -35,22 +33,16 @@ def _codes(text: bytes | None) -> np.ndarray:
     return np.where(c < 128, _SPACE[np.minimum(c, 127)], c)
 
 
-def _buckets(codes: np.ndarray) -> list[np.ndarray]:
-    """For n of 2 and 3, the bucket of the n-gram at each place but the last n-1."""
-    out = []
+def _buckets(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """The buckets of the n-grams of two and of three characters, each place once, in parts for long texts."""
     for n in (2, 3):
-        h = np.full(max(0, len(codes) - n + 1), n, dtype=np.uint32)
-        for i in range(n):
-            h = (h ^ codes[i : len(codes) - n + 1 + i]) * _MIX[i]
-            h ^= h >> np.uint32(15)
-        out.append(h & np.uint32((1 << BITS) - 1))
-    return out
-
-
-def _pieces(codes: np.ndarray) -> Iterator[np.ndarray]:
-    """Parts of a long text, each with the two characters that n-grams reach into the next. A bigram is counted in one part only but for one at each cut."""
-    for i in range(0, max(1, len(codes) - 2), PIECE):
-        yield codes[i : i + PIECE + 2]
+        for begin in range(0, max(1, len(codes) - n + 1), PIECE):
+            part = codes[begin : begin + PIECE + n - 1]
+            h = np.full(max(0, len(part) - n + 1), n, dtype=np.uint32)
+            for i in range(n):
+                h = (h ^ part[i : len(part) - n + 1 + i]) * _MIX[i]
+                h ^= h >> np.uint32(15)
+            yield h & np.uint32((1 << BITS) - 1)
 
 
 @dataclass(frozen=True)
@@ -61,12 +53,11 @@ class Languages:
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
         """The likeliest language and its posterior probability; ties go to the first in order of names; ('und', 0.0) without a letter or a learned language."""
-        if not text or not self.names or not _LETTER.search(text.decode()):
+        if not text or not self.names or not any(map(str.isalpha, text.decode())):
             return "und", 0.0
         total = self.prior.copy()
-        for part in _pieces(_codes(text)):
-            for at in _buckets(part):
-                total += self.log_p[at].sum(axis=0, dtype=np.float64)
+        for at in _buckets(_codes(text)):
+            total += self.log_p[at].sum(axis=0, dtype=np.float64)
         p = np.exp(total - total.max())
         best = int(total.argmax())
         return self.names[best], float(p[best] / p.sum())
@@ -86,9 +77,8 @@ def fit(docs: DataFrame, held_out: bool = True, max_labelled: int = MAX_LABELLED
             for lang, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
                 c = counts.setdefault(lang, np.zeros(1 << BITS, np.int64))
                 seen[lang] = seen.get(lang, 0) + 1
-                for part in _pieces(_codes(text)):
-                    for at in _buckets(part):
-                        c += np.bincount(at, minlength=1 << BITS)
+                for at in _buckets(_codes(text)):
+                    c += np.bincount(at, minlength=1 << BITS)
         for lang, c in counts.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(c[at], seen[lang]))], names=["lang", "bucket", "n"])
