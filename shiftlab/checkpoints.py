@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; one of our own only where that is unset (tests)."""
+    """The shared folder that `spark.checkpoint.dir` names. Where it is unset, a temporary folder of a local session; any other session is refused, as its executors don't see this machine's folders."""
     d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = getattr(checkpoint_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="shiftlab-cube-")
         checkpoint_dir.own = d
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
