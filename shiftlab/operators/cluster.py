@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Protocol
+from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import ang2pix, auto_nside, geodetic_to_cartesian, pix2ang
 from ..checkpoints import cut
 from .graph import connected_components
+from .hierarchy import BLOCK, core_distances, mutual_tree, spanning_tree
 from .masks import sorted_labels
 
 
@@ -23,11 +24,17 @@ class Clusterer(Protocol):
 
 
 class Regridder(Protocol):
-    """Maps points to other places and labels back."""
+    """Maps points (cell_id, t_idx, t, w, lat, lon and others) to other places and labels back.
+
+    `key` names the long column that numbers the places. `regrid` returns (t_idx, t, key, w, lat, lon), one row for each place and step;
+    `labels_back` takes the points and (t_idx, key, cluster) and returns (cell_id, t_idx, cluster). A method `sized(points)`, if there is one, returns the regridder to use for the points.
+    """
+
+    key: str
 
     def regrid(self, points: DataFrame) -> DataFrame: ...
 
-    def labels_back(self, labels: DataFrame) -> DataFrame: ...
+    def labels_back(self, points: DataFrame, labels: DataFrame) -> DataFrame: ...
 
 
 @dataclass(frozen=True)
@@ -35,6 +42,7 @@ class HealPixRegridder:
     """Points of one step in the same equal-area pixel become one, of their mean weight, at the pixel's centre."""
 
     nside: int | None = None
+    key = "hp_pix"
 
     def sized(self, points: DataFrame) -> HealPixRegridder:
         """With a resolution that suits the points' distinct places; of fewer than 4 places the coarsest."""
@@ -95,19 +103,42 @@ def dbscan(points: DataFrame, axes: list[str], eps: float, min_samples: int = 5,
     border = from_core.join(core.withColumnRenamed("k", "o"), "o", "left_anti").groupBy("o").agg(F.min("k").alias("k")).join(named, "k").select(F.col("o").alias("k"), "component")
     every = named.unionByName(border)
     number = every.select("component").distinct().select("component", (F.row_number().over(Window.orderBy("component")) - 1).cast("int").alias("cluster"))
-    found = every.join(F.broadcast(number), "component").select(F.col("k").alias(key), "cluster")
+    found = every.join(number, "component").select(F.col("k").alias(key), "cluster")
     return points.select(key).join(found, key, "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+class Distributed(Protocol):
+    """A clusterer of DataFrames: points (id, axes, w) in, (id, cluster) out, -1 for noise."""
+
+    def cluster(self, points: DataFrame, axes: list[str]) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class DBSCAN:
     eps: float = 0.5
     min_samples: int = 5
 
+    def cluster(self, points: DataFrame, axes: list[str]) -> DataFrame:
+        return dbscan(points, axes, self.eps, self.min_samples)
+
+
+@dataclass(frozen=True)
+class SparkML:
+    """Any estimator of `pyspark.ml.clustering` with features and predictions, such as KMeans, BisectingKMeans and GaussianMixture."""
+
+    estimator: Any
+
+    def cluster(self, points: DataFrame, axes: list[str]) -> DataFrame:
+        from pyspark.ml.feature import VectorAssembler
+
+        rows = VectorAssembler(inputCols=axes, outputCol="features_of_point").transform(points.select("id", *axes))
+        model = self.estimator.copy().setFeaturesCol("features_of_point").setPredictionCol("cluster_of_point").fit(rows)
+        return model.transform(rows).select("id", F.col("cluster_of_point").cast("int").alias("cluster"))
+
 
 @dataclass(frozen=True)
 class HDBSCAN:
-    """Hierarchical density clusters by excess of mass, exact, for point clouds that fit one task."""
+    """Hierarchical density clusters by excess of mass. The cube's points are clustered by `hdbscan`; `fit_predict` takes arrays."""
 
     min_cluster_size: int = 5
     min_samples: int | None = None
@@ -117,26 +148,30 @@ class HDBSCAN:
         n, k = len(X), self.min_samples or self.min_cluster_size
         if n < max(k, 2):
             return np.full(n, -1)
-        return _excess_of_mass(*_spanning_tree(np.asarray(X, dtype=float), k), n, self.min_cluster_size, self.allow_single_cluster)
-
-
-def _spanning_tree(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (a, b, weight) of the minimum spanning tree of mutual reachability distances, a row of distances at a time."""
-    n = len(x)
-    distance = lambda i: np.sqrt(((x - x[i]) ** 2).sum(axis=1))
-    core = np.array([np.partition(distance(i), k - 1)[k - 1] for i in range(n)])
-    best, source, open_ = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
-    a, b, w, at = [], [], [], 0
-    for _ in range(n - 1):
-        open_[at] = False
-        reach = np.maximum(np.maximum(core[at], core), distance(at))
-        nearer = open_ & (reach < best)
-        best[nearer], source[nearer] = reach[nearer], at
-        at = int(np.where(open_, best, np.inf).argmin())
-        a.append(source[at])
-        b.append(at)
-        w.append(best[at])
-    return np.array(a), np.array(b), np.array(w)
+        x = np.asarray(X, dtype=float)
+        core = np.concatenate([core_distances(x[i : i + 256], iter([x]), k) for i in range(0, n, 256)])
+        return _excess_of_mass(*spanning_tree(x, core), n, self.min_cluster_size, self.allow_single_cluster)
+
+    def cluster(self, points: DataFrame, axes: list[str]) -> DataFrame:
+        return hdbscan(points, axes, self)
+
+
+def hdbscan(points: DataFrame, axes: list[str], method: HDBSCAN, block: int = BLOCK) -> DataFrame:
+    """(id, cluster): labels of the points (id, axes), -1 for noise, the same as `fit_predict` gives for them in order of their ids.
+
+    The spanning tree is built from pairs of blocks; the tree of clusters from its edges (one for each point, 24 bytes) in one task.
+    """
+    n, k = points.count(), method.min_samples or method.min_cluster_size
+    if n < max(k, 2):
+        return points.select("id", F.lit(-1).alias("cluster"))
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, w = (table.column(c).to_numpy() for c in "abw")
+        ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        labels = _excess_of_mass(ends[: len(a)], ends[len(a) :], w, len(ids), method.min_cluster_size, method.allow_single_cluster)
+        return pa.table({"id": pa.array(ids), "cluster": pa.array(labels.astype(np.int32))})
+
+    return mutual_tree(points.select("id", *axes), axes, k, block).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "id long, cluster int")
 
 
 def _excess_of_mass(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, least: int, single: bool) -> np.ndarray:
@@ -218,7 +253,7 @@ def grouped_fit(points: DataFrame, axes: list[str], method: Clusterer, keys: lis
     """(keys, cluster) by a user's clusterer, which sees all points in one task; more than `MAX_POINTS` are refused."""
     n = points.count()
     if n > MAX_POINTS:
-        raise ValueError(f"{n} points, over {MAX_POINTS}: use DBSCAN, which is distributed, or fewer points")
+        raise ValueError(f"{n} points, over {MAX_POINTS}: use HDBSCAN or DBSCAN, which are distributed, or fewer points")
     schema = points.select(*keys, F.lit(0).alias("cluster")).schema
 
     def run(table: pa.Table) -> pa.Table:
@@ -226,14 +261,16 @@ def grouped_fit(points: DataFrame, axes: list[str], method: Clusterer, keys: lis
         x = np.column_stack([table.column(a).to_numpy() for a in axes])
         try:
             labels = np.asarray(method.fit_predict(x, table.column("w").to_numpy()))
-        except ValueError:  # too few points
-            labels = np.full(len(x), -1)
+        except ValueError as e:
+            if "min_samples" not in str(e) or "must be at most" not in str(e):
+                raise
+            labels = np.full(len(x), -1)  # too few points
         return table.select(keys).append_column("cluster", pa.array(labels.astype(np.int32)))
 
     return points.select(F.lit(0).alias("all"), *keys, *axes, "w").groupBy("all").applyInArrow(run, schema)
 
 
-def cluster_points(points: DataFrame, times: DataFrame, cells: DataFrame, method: Clusterer | DBSCAN, grid_kind: str = "native", time_weight: float = 1.0, regridder: HealPixRegridder | None = None, disable_regridder: bool = False, sort_by_size: bool = True) -> DataFrame:
+def cluster_points(points: DataFrame, times: DataFrame, cells: DataFrame, method: Clusterer | Distributed, grid_kind: str = "native", time_weight: float = 1.0, regridder: Regridder | None = None, disable_regridder: bool = False, sort_by_size: bool = True) -> DataFrame:
     """(cell_id, t_idx, cluster) of selected points.
 
     Points of a regular lat/lon grid go through equal-area pixels unless `disable_regridder`;
@@ -245,13 +282,13 @@ def cluster_points(points: DataFrame, times: DataFrame, cells: DataFrame, method
     if not disable_regridder and has and (regridder is not None or grid_kind == "latlon"):
         if own.isEmpty():
             return own.select("cell_id", "t_idx", F.lit(-1).alias("cluster"))
-        used = (regridder or HealPixRegridder()).sized(own)
+        used = regridder or HealPixRegridder()
+        used = used.sized(own) if hasattr(used, "sized") else used
     p = coordinates(used.regrid(own) if used else own, has, time_weight)
-    keys, axes = ["t_idx", "hp_pix" if used else "cell_id"], ["c0", "c1", "c2"] + ["c3"] * has
-    if isinstance(method, DBSCAN):
-        place = F.col(keys[1])
-        coded = p.withColumn("id", (place * F.lit(1 << 24) + F.col("t_idx")).cast("long"))
-        labels = dbscan(coded, axes, method.eps, method.min_samples).join(coded.select("id", *keys), "id").select(*keys, "cluster")
+    keys, axes = ["t_idx", used.key if used else "cell_id"], ["c0", "c1", "c2"] + ["c3"] * has
+    if hasattr(method, "cluster"):  # ids in order of time, then of place
+        coded = cut(p.withColumn("id", (F.col("t_idx").cast("long") * F.lit(1 << 40) + F.col(keys[1])).cast("long")))
+        labels = method.cluster(coded, axes).join(coded.select("id", *keys), "id").select(*keys, "cluster")
     else:
         labels = grouped_fit(p, axes, method, keys)
     labels = used.labels_back(own, labels) if used else labels.select("cell_id", "t_idx", "cluster")

@@ -37,7 +37,7 @@ def test_hdbscan():
     assert len(set(got[:60]) - {-1}) == 1 and len(set(got[60:100]) - {-1}) == 1 and got[0] != got[60] and (got[100:] == -1).mean() > 0.7
     assert (cl.HDBSCAN(min_cluster_size=10).fit_predict(x[:5]) == -1).all()
     assert set(cl.HDBSCAN(min_cluster_size=5).fit_predict(np.zeros((30, 3)))) <= {-1, 0}
-    a, b, w = cl._spanning_tree(x, 5)
+    a, b, w = cl.spanning_tree(x, cl.core_distances(x, iter([x]), 5))
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     c = np.sort(d, axis=1)[:, 4]
     reach = np.maximum(np.maximum(c[:, None], c[None]), d)
@@ -49,6 +49,27 @@ def test_hdbscan():
     assert math.isclose(tree, w.sum(), rel_tol=1e-9)
 
 
+def test_hdbscan_in_blocks(spark):
+    """The tree and the labels from pairs of blocks are those of all points at once, also with equal points and distances."""
+    rng = np.random.default_rng(4)
+    for x in (
+        np.concatenate([rng.normal(c, 0.4, (60, 3)) for c in (0, 3, 9)] + [rng.uniform(-15, 15, (30, 3))]),
+        rng.integers(0, 5, (150, 3)).astype(float),
+        np.concatenate([np.zeros((70, 2)), rng.normal(4, 0.1, (20, 2))]),
+    ):
+        axes = [f"c{i}" for i in range(x.shape[1])]
+        df = spark.createDataFrame([(1000 * i, *map(float, p)) for i, p in enumerate(x)], "id long, " + ", ".join(f"{a} double" for a in axes))
+        core = cl.core_distances(x, iter([x]), 5)
+        want = sorted(zip(*(np.asarray(z).tolist() for z in cl.spanning_tree(x, core))))
+        for block in (1000, 40, 15):
+            got = sorted((r.a // 1000, r.b // 1000, r.w) for r in cl.mutual_tree(df, axes, 5, block).collect())
+            assert got == want
+        method = cl.HDBSCAN(min_cluster_size=5)
+        labels = {r.id // 1000: r.cluster for r in cl.hdbscan(df, axes, method, 40).collect()}
+        assert [labels[i] for i in range(len(x))] == method.fit_predict(x).tolist()
+    assert {r.cluster for r in cl.hdbscan(df.limit(3), axes, method).collect()} == {-1}
+
+
 def test_ward():
     assert stats.ward_consistency(np.zeros((1, 5))) == 0.0
     assert stats.ward_consistency(np.array([[1, 2, 3.0], [3, 1, 2]])) == 1.0
