@@ -13,7 +13,8 @@ from .graph import connected_components, grid_edges, knn_edges
 from .masks import top_clusters
 from .select import transition_time
 
-
+# Fixed value: the published name of the column, spelled as it is there.
+RATE = "cluster_occurence_rate"
 
 def stacked(maps: dict[str, DataFrame]) -> DataFrame:
     """(map, cell_id, t_idx, cluster) of named label tables."""
@@ -23,7 +24,7 @@ def stacked(maps: dict[str, DataFrame]) -> DataFrame:
 def occurrence_rate(maps: dict[str, DataFrame], cells: DataFrame) -> DataFrame:
     """(cell_id, cluster_occurence_rate): the share of maps in which a cell is ever in a cluster."""
     n = stacked(maps).where("cluster >= 0").groupBy("cell_id").agg((F.countDistinct("map") / F.lit(len(maps))).alias("rate"))
-    return cells.select("cell_id").join(n, "cell_id", "left").select("cell_id", F.coalesce("rate", F.lit(0.0)).alias("cluster_occurence_rate"))
+    return cells.select("cell_id").join(n, "cell_id", "left").select("cell_id", F.coalesce("rate", F.lit(0.0)).alias(RATE))
 
 
 def jaccard_consistency(maps: dict[str, DataFrame], cells: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def consensus(maps: dict[str, DataFrame], cells: DataFrame, grid_kind: str = "na
     placed = own.join(nodes, "node", "left")
     sizes = placed.where("component is not null").groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     rank = sizes.select("component", (F.row_number().over(Window.orderBy(F.desc("n"), "component")) - 1).cast("int").alias("cluster"))
-    return placed.join(F.broadcast(rank), "component", "left").select("cell_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("consistency", F.lit(0.0)).alias("consistency"))
+    return placed.join(rank, "component", "left").select("cell_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("consistency", F.lit(0.0)).alias("consistency"))
 
 
 def consensus_summary(found: DataFrame, cells: DataFrame, shifts: dict[str, DataFrame], times: DataFrame, threshold: float = 0.0) -> DataFrame:

@@ -46,8 +46,8 @@ def grid_edges(cells: DataFrame, connectivity: int = 8) -> DataFrame:
 def knn_edges(points: DataFrame, k: int = 8, block: int = 2000) -> DataFrame:
     """(src, dst), src < dst where dst is among the k nearest of src on the unit sphere: points (node, lat, lon).
 
-    Points meet only in latitude bands: one band and its neighbours are searched, and a point whose k-th
-    neighbour there is farther than the searched bands reach is searched among all in blocks. Ties go to the smaller node.
+    Points meet only in latitude bands: first one band and its neighbours are searched. A point whose k-th
+    neighbour there is farther than the searched bands reach is searched again in twice as many, until there are no more. Ties go to the smaller node.
     """
     from ..functions.geo import unit_sphere
 
@@ -55,21 +55,28 @@ def knn_edges(points: DataFrame, k: int = 8, block: int = 2000) -> DataFrame:
     bands = max(1, int((n / block) ** 0.5 * 2))
     height = 180.0 / bands
     p = points.select("node", *[c.alias(x) for c, x in zip(unit_sphere(F.col("lat"), F.col("lon")), "xyz")], F.least(F.floor((F.col("lat") + 90) / height), F.lit(bands - 1)).cast("int").alias("band"), "lat")
-    near = p.select(F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("node").alias("other"), *[F.col(c).alias("o" + c) for c in "xyz"])
 
     def ranked(pairs: DataFrame) -> DataFrame:
         d = sum((F.col(c) - F.col("o" + c)) * (F.col(c) - F.col("o" + c)) for c in "xyz")
         w = Window.partitionBy("node").orderBy("d", "other")
         return pairs.where("node != other").withColumn("d", d).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
 
-    first = ranked(p.join(near, "band"))
-    # the searched bands reach at least to the near edge of the outer ones
-    low, high = F.when(F.col("band") == 0, 1e9).otherwise(F.col("lat") + 90 - (F.col("band") - 1) * height), F.when(F.col("band") == bands - 1, 1e9).otherwise((F.col("band") + 2) * height - 90 - F.col("lat"))
-    reach = F.least(low, high)
-    chord = F.when(reach > 179, F.lit(9.0)).otherwise(2 * F.sin(F.radians(reach) / 2))
-    sure = first.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max("d")).alias("far")).join(p.select("node", chord.alias("chord")), "node").where((F.col("n") == k) & (F.col("far") <= F.col("chord")))
-    rest = p.join(sure, "node", "left_anti")
-    everyone = p.select(F.col("node").alias("other"), *[F.col(c).alias("o" + c) for c in "xyz"])
-    second = ranked(rest.hint("broadcast").crossJoin(everyone)) if rest.count() <= 10_000 else ranked(rest.crossJoin(everyone))
-    kept = first.join(sure.select("node"), "node", "left_semi").select("node", "other").unionByName(second.select("node", "other"))
+    kept, left, reach = None, p, 1
+    while True:
+        near = p.select(F.explode(F.sequence(F.greatest(F.lit(0), F.col("band") - reach), F.least(F.lit(bands - 1), F.col("band") + reach))).alias("band"), F.col("node").alias("other"), *[F.col(c).alias("o" + c) for c in "xyz"])
+        found = ranked(left.join(near, "band"))
+        if reach >= bands:
+            sure = left.select("node")
+        else:  # the searched bands reach at least to the near edge of the outer ones
+            low = F.when(F.col("band") - reach <= 0, 1e9).otherwise(F.col("lat") + 90 - (F.col("band") - reach) * height)
+            high = F.when(F.col("band") + reach >= bands - 1, 1e9).otherwise((F.col("band") + reach + 1) * height - 90 - F.col("lat"))
+            chord = F.when(F.least(low, high) > 179, F.lit(9.0)).otherwise(2 * F.sin(F.radians(F.least(low, high)) / 2))
+            far = found.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max("d")).alias("far"))
+            sure = far.join(left.select("node", chord.alias("chord")), "node").where((F.col("n") == k) & (F.col("far") <= F.col("chord"))).select("node")
+        own = cut(found.join(sure, "node", "left_semi").select("node", "other"))
+        kept = own if kept is None else kept.unionByName(own)
+        left = cut(left.join(own.select("node").distinct(), "node", "left_anti"))
+        if reach >= bands or left.isEmpty():
+            break
+        reach *= 2
     return kept.where("node < other").select(F.col("node").alias("src"), F.col("other").alias("dst"))

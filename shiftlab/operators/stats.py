@@ -5,6 +5,10 @@ All functions give one row for each cluster; `labels` are sparse and noise (-1)
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from inspect import signature
+from typing import Any
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -59,7 +63,7 @@ def _cluster_series(grid: DataFrame, value: str, labels: DataFrame, how: str = "
 def steepest_gradient(grid: DataFrame, value: str, labels: DataFrame, times: DataFrame) -> DataFrame:
     """(cluster, steepest_gradient, steepest_gradient_timestep): the step before the steepest drop of the median series from the cluster's start (included) to its end (excluded); the first step of all where that holds no two steps."""
     span = _members(labels).groupBy("cluster").agg(F.min("t_idx").alias("a"), F.max("t_idx").alias("b"))
-    s = _cluster_series(grid, value, labels, "median").join(F.broadcast(span), "cluster").where("t_idx >= a and t_idx < b")
+    s = _cluster_series(grid, value, labels, "median").join(span, "cluster").where("t_idx >= a and t_idx < b")
     w = Window.partitionBy("cluster").orderBy("t_idx")
     d = s.withColumn("d", F.lead("v").over(w) - F.col("v")).where("d is not null")
     best = d.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("d", "t_idx"))).where("r = 1").select("cluster", "t_idx")
@@ -107,9 +111,11 @@ def central_point(labels: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def _linear(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, rss): the squared residuals of v's linear fit on t; 0 where t doesn't vary."""
+    """(keys, n, rss): the squared residuals of v's linear fit on t; 0 where t doesn't vary. Both are brought to mean zero first, as squares of times in seconds leave no digits for their differences."""
+    w = Window.partitionBy(*keys)
+    rows = rows.where("v is not null").select(*keys, (F.col("t") - F.avg("t").over(w)).alias("t"), (F.col("v") - F.avg("v").over(w)).alias("v"))
     t, v = F.col("t"), F.col("v")
-    s = rows.where("v is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(t).alias("x"), F.sum(v).alias("y"), F.sum(t * t).alias("xx"), F.sum(t * v).alias("xy"), F.sum(v * v).alias("yy"))
+    s = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(t).alias("x"), F.sum(v).alias("y"), F.sum(t * t).alias("xx"), F.sum(t * v).alias("xy"), F.sum(v * v).alias("yy"))
     sxx, sxy, syy = F.col("xx") - F.col("x") * F.col("x") / F.col("n"), F.col("xy") - F.col("x") * F.col("y") / F.col("n"), F.col("yy") - F.col("y") * F.col("y") / F.col("n")
     return s.select(*keys, "n", F.greatest(F.lit(0.0), syy - F.coalesce(F.try_divide(sxy * sxy, sxx), F.lit(0.0))).alias("rss"))
 
@@ -162,6 +168,10 @@ def pair_correlations(grid: DataFrame, value: str, labels: DataFrame) -> DataFra
     return p.select("cluster", "a", "b", F.coalesce(r * r, F.lit(0.0)).alias("r2"))
 
 
+#: Clusters whose matrices a task holds at once.
+MAX_HELD = 64
+
+
 def score_spatial_autocorrelation(grid: DataFrame, value: str, labels: DataFrame) -> DataFrame:
     """(cluster, score): the mean squared correlation of a cluster's series; 0 for a single one.
 
@@ -174,22 +184,33 @@ def score_spatial_autocorrelation(grid: DataFrame, value: str, labels: DataFrame
 
     def moments(batches):
         total: dict[int, list] = {}
+
+        def summed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([float(x[1]) for x in total.values()]), pa.array([x[2].ravel() for x in total.values()], pa.list_(pa.float64()))], names=["cluster", "n", "own", "m"])
+
         for b in batches:
-            for cluster, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.array([np.nan if y is None else y for y in v], dtype=float)
-                x = x - x.mean()
-                n = np.sqrt(x @ x)
-                x = x / n if n > 0 else np.zeros(len(x))
-                ok = bool(np.isfinite(x).all())
-                at = total.setdefault(cluster, [0, 0, np.zeros((len(x), len(x)))])
-                at[0] += 1
-                if ok:
-                    at[1] += float(x @ x) ** 2
-                    at[2] += np.outer(x, x)
+            if not b.num_rows:
+                continue
+            clusters, whole, n = b.column(0).to_numpy(), b.column(1).is_valid().to_numpy(zero_copy_only=False), int(b.column(2)[0].as_py())
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)  # of the series without gaps
+            x = x - x.mean(axis=1, keepdims=True)
+            size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+            ok = np.isfinite(size[:, 0])
+            for cluster in np.unique(clusters).tolist():
+                u = x[(clusters[whole] == cluster) & ok]
+                at = total.setdefault(cluster, [0, 0.0, np.zeros((n, n))])
+                at[0] += int((clusters == cluster).sum())
+                at[1] += float(((u * u).sum(axis=1) ** 2).sum())
+                at[2] += u.T @ u
+                if len(total) >= MAX_HELD:
+                    yield summed()
+                    total.clear()
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([float(x[1]) for x in total.values()]), pa.array([x[2].ravel() for x in total.values()], pa.list_(pa.float64()))], names=["cluster", "n", "own", "m"])
+            yield summed()
 
-    parts = footprint.join(rows, "cell_id").select(F.col("cluster").cast("int"), "v").mapInArrow(moments, "cluster int, n long, own double, m array<double>")
+    steps = grid.agg((F.max("t_idx") + 1).cast("int").alias("steps"))  # one row
+    parts = footprint.join(rows, "cell_id").crossJoin(F.broadcast(steps)).select(F.col("cluster").cast("int"), F.when(F.size("v") == F.col("steps"), F.col("v")).alias("v"), "steps").mapInArrow(moments, "cluster int, n long, own double, m array<double>")
     sums = parts.select("cluster", F.posexplode("m").alias("i", "m")).groupBy("cluster", "i").agg(F.sum("m").alias("m")).groupBy("cluster").agg(F.sum(F.col("m") * F.col("m")).alias("frobenius"))
     counts = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
     pairs = F.col("n") * (F.col("n") - 1)
@@ -244,8 +265,11 @@ def score_consistency(grid: DataFrame, value: str, labels: DataFrame) -> DataFra
     return footprint.join(rows, "cell_id").select(F.col("cluster").cast("int"), "cell_id", "v").groupBy("cluster").applyInArrow(run, "cluster int, score double")
 
 
-def aggregate_scores(scores: DataFrame, how: str = "mean", weights: DataFrame | None = None) -> DataFrame:
-    """One row (score): mean, median or weighted mean (`weights`: cluster, weight) of the clusters' scores; anything else gives 0."""
+def aggregate_scores(scores: DataFrame, how: str | Callable[[list[float]], float] = "mean", weights: DataFrame | None = None) -> DataFrame:
+    """One row (score): mean, median or weighted mean (`weights`: cluster, weight) of the clusters' scores, or what a function gives for the list of them in order of the clusters; any other name gives 0."""
+    if callable(how):
+        run = lambda table: pa.table({"score": pa.array([float(how(table.sort_by("cluster").column("score").to_pylist()))])})
+        return scores.select(F.lit(0).alias("all"), "cluster", "score").groupBy("all").applyInArrow(run, "score double")
     if how == "mean":
         return scores.agg(F.avg("score").alias("score"))
     if how == "median":
@@ -255,11 +279,28 @@ def aggregate_scores(scores: DataFrame, how: str = "mean", weights: DataFrame |
     return scores.sparkSession.range(1).select(F.lit(0.0).alias("score"))
 
 
-def score_overview(grid: DataFrame, value: str, labels: DataFrame, times: DataFrame, cells: DataFrame, shifts: DataFrame | None = None, shift_threshold: float = 0.0) -> DataFrame:
-    """One row for each cluster: four scores, their product, size, mean place, and mean and spread of its cells' shift times."""
+#: Published names of keyword arguments of scores, and ours.
+_ALIASES = {"aggregation": "how", "normalize": "norm", "normalise_against_unclustered": "against_unclustered"}
+
+
+def score_overview(grid: DataFrame, value: str, labels: DataFrame, times: DataFrame, cells: DataFrame, shifts: DataFrame | None = None, shift_threshold: float = 0.0, exclude_noise: bool = True, **how: Any) -> DataFrame:
+    """One row for each cluster: four scores, their product, size, mean place, and mean and spread of its cells' shift times.
+
+    Keyword arguments go to the scores that take them. Without `exclude_noise` there is a row for -1: the cells that are never in a cluster, its size
+    being the number of all points outside of clusters.
+    """
+    if not exclude_noise:  # scored as one more cluster, number 0
+        cast = lambda df: df.select("cell_id", "t_idx", F.col("cluster").cast("int").alias("cluster"))
+        never = permanent_noise(labels, cells).select("cell_id", F.lit(0).alias("t_idx"), F.lit(-1).alias("cluster"))
+        moved = cast(_members(labels)).unionByName(cast(never)).withColumn("cluster", F.col("cluster") + 1)
+        out = score_overview(grid, value, moved, times, cells, shifts, shift_threshold, True, **how).withColumn("cluster", F.col("cluster") - 1)
+        outside = cells.select(F.count(F.lit(1)).alias("c")).crossJoin(times.select(F.count(F.lit(1)).alias("t"))).crossJoin(_members(labels).select(F.count(F.lit(1)).alias("m"))).select((F.col("c") * F.col("t") - F.col("m")).alias("outside"))  # three single rows
+        return out.crossJoin(F.broadcast(outside)).withColumn("size", F.when(F.col("cluster") == -1, F.col("outside")).otherwise(F.col("size"))).drop("outside")
+    given = {_ALIASES.get(k, k): v for k, v in how.items()}
+    taken = lambda score: {k: v for k, v in given.items() if k in signature(score).parameters}
     named = lambda df, name: df.withColumnRenamed("score", name)
     names = ["score_heaviside", "score_consistency", "score_spatial_autocorrelation", "score_nonlinearity"]
-    every = [score_heaviside(grid, value, labels, times), score_consistency(grid, value, labels), score_spatial_autocorrelation(grid, value, labels), score_nonlinearity(grid, value, labels, times)]
+    every = [score_heaviside(grid, value, labels, times, **taken(score_heaviside)), score_consistency(grid, value, labels), score_spatial_autocorrelation(grid, value, labels), score_nonlinearity(grid, value, labels, times, cells, **taken(score_nonlinearity))]
     out = _members(labels).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     for df, name in zip(every, names, strict=True):
         out = out.join(named(df, name), "cluster", "left")
