@@ -19,6 +19,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
 from .functions.times import seconds_since_first, time_index
 from .operators import cluster as cl
 from .operators import consensus as co
@@ -28,6 +29,8 @@ from .operators import select as se
 
 logger = logging.getLogger("shiftlab")
 LAT_NAMES, LON_NAMES = ("lat", "latitude", "nav_lat"), ("lon", "longitude", "nav_lon")
+#: Values of an axis that are broadcast.
+MAX_AXIS = 1_000_000
 BASE, SHIFT, CLUSTER = "base", "shift", "cluster"
 
 
@@ -69,11 +72,12 @@ class ShiftCube:
         axis = tuple(r[0] for r in steps.orderBy("t_idx").select("__t").collect())  # one number for each step
         ny, nx = ys.count(), xs.count()
         extra = [c for c in (lat, lon) if c and c not in (y, x)]
-        rows = df.join(F.broadcast(steps), "__t").join(F.broadcast(ys), y).join(F.broadcast(xs), x)
+        small = lambda table, n: F.broadcast(table) if n <= MAX_AXIS else table
+        rows = df.join(small(steps, len(axis)), "__t").join(small(ys, ny), y).join(small(xs, nx), x)
         cell = (F.col("y_idx").cast("long") * nx + F.col("x_idx")).alias("cell_id")
         value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)  # noqa: E731  missing is NULL, never NaN
         grid = rows.select(cell, "y_idx", "x_idx", "t_idx", *[value(c) for c in names])
-        every = ys.crossJoin(F.broadcast(xs)).select(cell, "y_idx", "x_idx", F.col(y).alias("y"), F.col(x).alias("x"))
+        every = ys.crossJoin(small(xs, nx)).select(cell, "y_idx", "x_idx", F.col(y).alias("y"), F.col(x).alias("x"))
         if regular:
             every = every.withColumns({"lat": F.col("y").cast("double"), "lon": F.col("x").cast("double")})
         elif extra:
@@ -188,15 +192,19 @@ class ShiftCube:
     # -- stages
 
     def compute_shifts(self, var: str | None = None, method: de.ShiftsMethod | None = None, output_label_suffix: str = "", overwrite: bool = False) -> ShiftCube:
-        """Adds `<var>_dts<suffix>`: (cell_id, t_idx, dts) of the usable cells."""
+        """Adds `<var>_dts<suffix>`: (cell_id, t_idx, dts) of the usable cells, computed once into the checkpoint folder."""
         var, method = self.get_base_var(var), method or de.ASDETECT()
         started = clock.time()
+        if not getattr(method, "ignore_nan_warnings", False) and logger.isEnabledFor(logging.WARNING):
+            gappy = de.cell_status(self.grid, var, self.n_t).where("gappy").count()
+            if gappy:
+                logger.warning("%d cells have gaps in their series and are left out of the detection", gappy)
         df = de.detect(self.grid.select("cell_id", "t_idx", var), var, list(self.axis), method)
         about = {f"method_{k}": str(v) for k, v in sorted(getattr(method, "__dict__", {}).items()) if v is not None and not k.startswith("_")}
-        return self._with(self._unique(f"{var}_dts{output_label_suffix}", overwrite), df, {"variable_type": SHIFT, "base_variable": var, "method_name": type(method).__name__, "time_dim": self.time_name, "runtime_planning": clock.time() - started, **about})
+        return self._with(self._unique(f"{var}_dts{output_label_suffix}", overwrite), cut(df), {"variable_type": SHIFT, "base_variable": var, "method_name": type(method).__name__, "time_dim": self.time_name, "runtime_planning": clock.time() - started, **about})
 
-    def compute_clusters(self, var: str | None = None, method: Any = None, shift_threshold: float = 0.5, shift_direction: str = "both", shift_selection: str = "local", time_weight: float = 1.0, regridder: cl.HealPixRegridder | None = None, disable_regridder: bool = False, output_label_suffix: str = "", output_label: str | None = None, overwrite: bool = False, sort_by_size: bool = True, optimize: bool = False, optimize_params: dict[str, Any] | None = None, objective: Any = "combined_spatial_nonlinearity", n_trials: int = 50, direction: str = "maximize") -> ShiftCube:
-        """Adds `<shift>_cluster<suffix>`: (cell_id, t_idx, cluster) of the selected points."""
+    def compute_clusters(self, var: str | None = None, method: Any = None, shift_threshold: float = 0.5, shift_direction: str = "both", shift_selection: str = "local", time_weight: float = 1.0, regridder: cl.Regridder | None = None, disable_regridder: bool = False, output_label_suffix: str = "", output_label: str | None = None, overwrite: bool = False, sort_by_size: bool = True, optimize: bool = False, optimize_params: dict[str, Any] | None = None, objective: Any = "combined_spatial_nonlinearity", n_trials: int = 50, direction: str = "maximize") -> ShiftCube:
+        """Adds `<shift>_cluster<suffix>`: (cell_id, t_idx, cluster) of the selected points, computed once into the checkpoint folder."""
         name, method = self.shift_var(var), method or cl.HDBSCAN()
         if optimize:
             from .operators.optimize import optimise
@@ -209,7 +217,7 @@ class ShiftCube:
         points = se.select_points(self.tables[name], shift_threshold, shift_direction, shift_selection)
         df = cl.cluster_points(points, self.times, self.cells, method, self.grid_kind, time_weight, regridder, disable_regridder, sort_by_size)
         about = {"variable_type": CLUSTER, "base_variable": self.get_base_var(name), "shifts_variable": name, "method_name": type(method).__name__, "shift_threshold": shift_threshold, "shift_direction": shift_direction, "shift_selection": shift_selection, "time_weight": time_weight}
-        return self._with(self._unique(output_label or f"{name}_cluster{output_label_suffix}", overwrite), df, about)
+        return self._with(self._unique(output_label or f"{name}_cluster{output_label_suffix}", overwrite), cut(df), about)
 
     def drop_clusters(self, *names: str) -> ShiftCube:
         gone = set(names or self.cluster_vars)
@@ -337,12 +345,12 @@ class Stats:
     def score_nonlinearity(self, **how: Any) -> DataFrame:
         return stats.score_nonlinearity(*self._of, self.cube.times, self.cube.cells, **how)
 
-    def score_overview(self, shift_threshold: float = 0.0) -> DataFrame:
+    def score_overview(self, shift_threshold: float = 0.0, exclude_noise: bool = True, **how: Any) -> DataFrame:
         shifts = self.cube.tables[self.cube.catalog[self.var]["shifts_variable"]]
-        return stats.score_overview(*self._of, self.cube.times, self.cube.cells, shifts, shift_threshold)
+        return stats.score_overview(*self._of, self.cube.times, self.cube.cells, shifts, shift_threshold, exclude_noise, **how)
 
-    def aggregate_cluster_scores(self, score_method: str, aggregation: str = "mean", cluster_ids: Iterable[int] | None = None, weights: DataFrame | None = None) -> DataFrame:
-        scores = getattr(self, score_method)()
+    def aggregate_cluster_scores(self, score_method: str, aggregation: str | Callable[[list[float]], float] = "mean", cluster_ids: Iterable[int] | None = None, weights: DataFrame | None = None, **how: Any) -> DataFrame:
+        scores = getattr(self, score_method)(**how)
         if cluster_ids is not None:
             scores = scores.where(F.col("cluster").isin(list(cluster_ids)))
         return stats.aggregate_scores(scores, aggregation, weights)
@@ -375,11 +383,14 @@ class Aggregate:
 class Preprocess:
     cube: ShiftCube
 
+    def preprocess(self) -> ShiftCube:
+        raise NotImplementedError("there is no general preprocessing; see preprocess_variable and dimension_to_variables")
+
     def preprocess_variable(self, var: str, filter_func: Callable[[Column], Column], fill_value: float | None = None) -> ShiftCube:
         return replace(self.cube, grid=series.preprocess_variable(self.cube.grid, var, filter_func, fill_value))
 
-    def dimension_to_variables(self, df: DataFrame, var: str, dim: str, keys: list[str], add_dim_to_name: bool = True) -> DataFrame:
-        return series.dimension_to_variables(df, var, dim, keys, None, add_dim_to_name)
+    def dimension_to_variables(self, df: DataFrame, var: str, dim: str, keys: list[str], drop_original: bool = True, add_dim_to_name: bool = True) -> DataFrame:
+        return series.dimension_to_variables(df, var, dim, keys, None, add_dim_to_name, drop_original)
 
 
 @dataclass(frozen=True)

@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 LMIN = 5
 
 
+def polyfit(x: np.ndarray, y: np.ndarray, deg: int) -> np.ndarray:
+    """Coefficients of the least-squares polynomial, highest power first; one column of them for each column of y."""
+    return np.polyfit(x, y, deg)
+
+
 class ShiftsMethod(Protocol):
     """A user's detector: one series in, one of the same length out."""
 
@@ -36,6 +41,7 @@ class ASDETECT:
     lmax: int | None = None
     timescale: tuple[float | None, float | None] | None = None
     segmentation: str = "two_sided"
+    ignore_nan_warnings: bool = False
 
     def lengths(self, times: np.ndarray) -> tuple[int, int]:
         n = len(times)

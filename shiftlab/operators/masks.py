@@ -5,6 +5,7 @@ Labels are sparse: (cell_id, t_idx, cluster) of the selected points; all other p
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,28 @@ def _ids(ids: int | Iterable[int]) -> list[int]:
     return [int(ids)] if isinstance(ids, int) or not isinstance(ids, Iterable) else [int(i) for i in ids]
 
 
+def is_equal_to(value: object, wanted: object) -> bool:
+    """Whether a value, or the only one of a sequence, is the wanted one."""
+    if isinstance(value, Iterable) and not isinstance(value, str):
+        value = list(value)
+        return len(value) == 1 and value[0] == wanted
+    return value == wanted
+
+
+def contains_value(values: object, wanted: object) -> bool:
+    """Whether the wanted value is the value, or one of a sequence."""
+    return wanted in list(values) if isinstance(values, Iterable) and not isinstance(values, str) else values == wanted
+
+
+def existing_ids(labels: DataFrame, ids: int | Iterable[int]) -> list[int]:
+    """Those of the ids that there are clusters of, in the order given; a warning names the others."""
+    wanted = _ids(ids)
+    there = {r[0] for r in labels.where(F.col("cluster").isin(wanted)).select("cluster").distinct().collect()}  # as many as were asked for at most
+    if missing := [i for i in wanted if i not in there]:
+        logging.getLogger("shiftlab").warning("no clusters %s", missing)
+    return [i for i in wanted if i in there]
+
+
 def dense(labels: DataFrame, cells: DataFrame, times: DataFrame) -> DataFrame:
     """(cell_id, t_idx, cluster) of every point, -1 where there is no label. As many rows as the cube has points."""
     every = cells.select("cell_id").crossJoin(F.broadcast(times.select("t_idx")))
@@ -103,7 +126,7 @@ def sorted_labels(labels: DataFrame) -> DataFrame:
     """Labels renamed by size, largest 0 (of equal ones the larger old label); -1 stays."""
     n = labels.where("cluster >= 0").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     rank = n.select(F.col("cluster").alias("old"), (F.row_number().over(Window.orderBy(F.desc("n"), F.desc("cluster"))) - 1).alias("new"))
-    return labels.join(F.broadcast(rank), labels["cluster"] == rank["old"], "left").select("cell_id", "t_idx", F.coalesce("new", F.lit(-1)).cast("int").alias("cluster"))
+    return labels.join(rank, labels["cluster"] == rank["old"], "left").select("cell_id", "t_idx", F.coalesce("new", F.lit(-1)).cast("int").alias("cluster"))
 
 
 def top_clusters(labels: DataFrame, n: int) -> DataFrame:

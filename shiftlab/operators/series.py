@@ -87,13 +87,20 @@ def stride(grid: DataFrame, y: int = 1, x: int = 1, t: int = 1, nx: int = 0) ->
     return out.withColumn("cell_id", F.col("y_idx").cast("long") * (-(-nx // x)) + F.col("x_idx"))
 
 
-def dimension_to_variables(df: DataFrame, value: str, dim: str, keys: list[str], members: list | None = None, add_name: bool = True) -> DataFrame:
-    """One column `{value}_{dim}_{member}` for each member of a dimension."""
+#: The columns that a dimension may become.
+MAX_MEMBERS = 10_000
+
+
+def dimension_to_variables(df: DataFrame, value: str, dim: str, keys: list[str], members: list | None = None, add_name: bool = True, drop_original: bool = True) -> DataFrame:
+    """One column `{value}_{dim}_{member}` for each member of a dimension, one row for each of `keys`; without `drop_original` the rows of `df` with these columns added. A dimension of more than `MAX_MEMBERS` members needs `members`."""
     if members is None:  # the members name columns, so they must be known to the plan
-        members = [r[0] for r in df.select(dim).distinct().orderBy(dim).limit(10_000).collect()]
+        members = [r[0] for r in df.select(dim).distinct().orderBy(dim).limit(MAX_MEMBERS + 1).collect()]
+        if len(members) > MAX_MEMBERS:
+            raise ValueError(f"{dim} has more than {MAX_MEMBERS} members: name those that become variables")
     wide = df.groupBy(*keys).pivot(dim, members).agg(F.first(value))
     name = lambda m: f"{value}_{dim}_{m}" if add_name else f"{value}_{m}"
-    return wide.select(*keys, *[F.col(f"`{m}`").alias(name(m)) for m in members])
+    out = wide.select(*keys, *[F.col(f"`{m}`").alias(name(m)) for m in members])
+    return out if drop_original else df.join(out, keys)
 
 
 def preprocess_variable(grid: DataFrame, value: str, keep: Callable[[Column], Column], fill: float | None = None) -> DataFrame:

@@ -20,7 +20,6 @@ from ..operators import consensus as co
 from ..operators import detect as de
 from ..operators import graph, masks, series, stats
 from ..operators import select as se
-from ..operators.optimize import optimise
 from ..sources import synth
 from .sql import EPS, MIN_SAMPLES, THRESHOLDS, hp, shaped
 
@@ -35,10 +34,10 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFr
     return _kept[key]
 
 
-def line_cube(spark: SparkSession, sf_dir: str, k: int = 8, step: bool = True) -> ShiftCube:
-    """The cube on a regular lat/lon grid of k x k cells; steps are months."""
+def line_cube(spark: SparkSession, sf_dir: str, k: int = 8, step: bool = True, kept: bool = True) -> ShiftCube:
+    """The cube on a regular lat/lon grid of k x k cells; steps are months. With `kept` it is made once a session and its grid persisted."""
     key = (spark.sparkContext.applicationId, sf_dir, "cube", k, step)
-    if key in _kept:
+    if kept and key in _kept:
         return _kept[key]
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_suppkey") % k).cast("int").alias("y_idx"), (F.col("l_partkey") % k).cast("int").alias("x_idx"), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("mo"), F.col("l_quantity").alias("q"))
     first, n_t = li.agg(F.min("mo"), F.max("mo") - F.min("mo") + 1).first()
@@ -47,8 +46,9 @@ def line_cube(spark: SparkSession, sf_dir: str, k: int = 8, step: bool = True) -
     cells = spark.range(k * k).select(F.col("id").alias("cell_id"), F.floor(F.col("id") / k).cast("int").alias("y_idx"), (F.col("id") % k).cast("int").alias("x_idx"))
     cells = cells.withColumns({"lat": -90 + (F.col("y_idx") + 0.5) * (180.0 / k), "lon": -180 + (F.col("x_idx") + 0.5) * (360.0 / k)}).withColumns({"y": F.col("y_idx").cast("double"), "x": F.col("x_idx").cast("double")})
     times = spark.range(n_t).select(F.col("id").cast("int").alias("t_idx"), F.col("id").cast("double").alias("t"), F.col("id").alias("t_orig"))
-    cube = ShiftCube(grid.persist(), cells, times, tuple(float(i) for i in range(n_t)), k, k, "latlon", "month", {}, {"v": {"variable_type": BASE}})
-    _kept[key] = cube
+    cube = ShiftCube(grid.persist() if kept else grid, cells, times, tuple(float(i) for i in range(n_t)), k, k, "latlon", "month", {}, {"v": {"variable_type": BASE}})
+    if kept:
+        _kept[key] = cube
     return cube
 
 
@@ -276,9 +276,9 @@ def _jittered(c: ShiftCube) -> DataFrame:
 
 
 def _optimised(c: ShiftCube) -> DataFrame:
-    best = optimise(c, "v_dts", cl.DBSCAN(3000.0, 4), {"min_samples": (3, 8)}, "median_heaviside", 3, "maximize", {"shift_threshold": 0.3, "shift_selection": "all", "disable_regridder": True})
-    found = c.compute_clusters("v_dts", best.method, output_label="best", **best.arguments).tables["best"]
-    return found.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n_clusters")).select(F.lit(float(best.score)).alias("score"), F.lit(best.params["min_samples"]).alias("min_samples"), "n_clusters")
+    out = c.compute_clusters("v_dts", cl.DBSCAN(3000.0, 4), 0.3, shift_selection="all", disable_regridder=True, output_label="best", optimize=True, optimize_params={"min_samples": (3, 8)}, objective="median_heaviside", n_trials=3)
+    about, found = out.catalog["best"], out.tables["best"]
+    return found.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n_clusters")).select(F.lit(float(about["opt_best_score"])).alias("score"), F.lit(about["opt_best_params"]["min_samples"]).alias("min_samples"), "n_clusters")
 
 
 _where: list[str] = [""]

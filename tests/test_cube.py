@@ -1,12 +1,18 @@
 import datetime
+import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
+from shiftlab.checkpoints import checkpoint_dir
 from shiftlab.cube import ShiftCube
-from shiftlab.operators.cluster import DBSCAN, HDBSCAN
-from shiftlab.operators.detect import MeanDifference
+from shiftlab.operators import masks, series
+from shiftlab.operators.cluster import DBSCAN, HDBSCAN, SparkML
+from shiftlab.operators.detect import MeanDifference, polyfit
+from shiftlab.operators.optimize import OBJECTIVES, guided, sample_params
 from shiftlab.sources import synth
 from shiftlab.streaming.monitor import detect_batches, running_cells
 
@@ -14,8 +20,9 @@ from shiftlab.streaming.monitor import detect_batches, running_cells
 @pytest.fixture(scope="module")
 def cube(spark):
     df = synth.global_dataset(spark, 10, 20, 60, n_shifts=0, random_seed=3)
-    df = synth.add_shift_blob(df, (20, -75), (25, 30), 50, 1.0)
-    df = synth.add_shift_blob(df, (-40, 100), (15, 30), 25, -1.0, number=2).select("lat", "lon", "t", "value")
+    axis = np.linspace(0, 100, 60)
+    df = synth.add_shift_blob(df, axis, (20, -75), (25, 30), 30, 1.0)
+    df = synth.add_shift_blob(df, axis, (-40, 100), (15, 30), 15, -1.0, number=2).select("lat", "lon", "t", "value")
     c = ShiftCube.from_dataframe(df.persist(), "t", values=["value"])
     for table in (c.grid, c.cells, c.times):
         table.persist()
@@ -73,6 +80,146 @@ def test_optimise(done):
     assert about["optimization"] and about["shift_threshold"] == 0.4 and 2 <= about["opt_best_params"]["min_samples"] <= 4
 
 
+def test_search_is_guided():
+    """Trials gather where earlier ones scored well; the kind of a range is that of its low end."""
+    rng, past = random.Random(0), []
+    params = {"a": (0.0, 10), "b": (1, 9.5), "c": "x"}
+    for i in range(60):
+        drawn = sample_params(params, rng, guided(past, rng) if i >= 10 else None)
+        assert isinstance(drawn["a"], float) and 0 <= drawn["a"] <= 10 and drawn["b"] in range(1, 10) and drawn["c"] == "x"
+        past.append((-((drawn["a"] - 7) ** 2) - (drawn["b"] - 3) ** 2, drawn))
+    late = past[30:]
+    assert np.mean([abs(d["a"] - 7) for _, d in late]) < 1.5 and np.mean([abs(d["b"] - 3) for _, d in late]) < 1.5
+    assert sample_params({"n": (3, 3)}, rng) == {"n": 3}
+
+
+def plain_heaviside(v, t):
+    fit = np.polyval(np.polyfit(t, v, 1), t)
+    full = ((v - np.median(v)) ** 2).sum()
+    return ((v - fit) ** 2).sum() / full if full > 0 else 0.0
+
+
+def test_objectives_against_plain_numbers(done):
+    """`median_heaviside` looks at median series, and at the shifts' own variable."""
+    wide = done.grid.withColumn("other", F.lit(1.0))
+    two = replace(done, grid=wide, catalog={"other": {"variable_type": "base"}, **done.catalog, "trial": done.catalog["value_dts_cluster_d"]}, tables={**done.tables, "trial": done.tables["value_dts_cluster_d"]})
+    labels = two.tables["trial"]
+    g = done.grid.toPandas().pivot(index="t_idx", columns="cell_id", values="value")
+    t = np.array(done.axis)
+    lab = labels.where("cluster >= 0").toPandas()
+    cells = {k: sorted(set(x.cell_id)) for k, x in lab.groupby("cluster") if k in sorted(set(lab.cluster))[:10]}
+    for name, inner, outer in (("median_heaviside", np.median, np.median), ("mean_heaviside", np.mean, np.mean)):
+        want = outer([plain_heaviside(inner(g[c].to_numpy(), axis=1), t) for c in cells.values()])
+        assert OBJECTIVES[name](two, labels) == pytest.approx(want, rel=1e-6)
+
+
+def test_scores_by_function_and_keywords(done):
+    s = done.stats("value_dts_cluster_d")
+    own = {r.cluster: r.score for r in s.score_heaviside(how="median").collect()}
+    assert s.aggregate_cluster_scores("score_heaviside", lambda x: max(x) + len(x), how="median").first()[0] == pytest.approx(max(own.values()) + len(own))
+    assert s.aggregate_cluster_scores("score_heaviside", "nothing").first()[0] == 0
+    plain = {r.cluster: r for r in s.score_overview(aggregation="median").collect()}
+    assert {k: r.score_heaviside for k, r in plain.items()} == pytest.approx(own)
+    noise = {r.cluster: r for r in s.score_overview(exclude_noise=False, aggregation="median").collect()}
+    clustered = done.get_clusters("value_dts_cluster_d").where("cluster >= 0").count()
+    assert noise.keys() == plain.keys() | {-1} and noise[-1].size == done.n_cells * done.n_t - clustered
+    assert all(noise[k].size == plain[k].size and noise[k].score_heaviside == pytest.approx(plain[k].score_heaviside) for k in plain)
+
+
+def test_stages_are_computed_once(spark, done):
+    """Reading labels again doesn't run the clusterer again."""
+    runs = spark.sparkContext.accumulator(0)
+
+    class Counted:
+        def fit_predict(self, X, y=None):  # noqa: N803
+            runs.add(1)
+            return np.zeros(len(X), int)
+
+    c = done.compute_clusters("value_dts", Counted(), output_label="counted")
+    before = runs.value
+    assert before >= 1 and c.get_clusters("counted").count() == c.get_clusters("counted").where("cluster = 0").count() and runs.value == before
+
+
+def test_errors_of_clusterers_and_regridders(done):
+    class Wrong:
+        def fit_predict(self, X, y=None):  # noqa: N803
+            raise ValueError("my own bug")
+
+    class Few:
+        def fit_predict(self, X, y=None):  # noqa: N803
+            raise ValueError("min_samples (5) must be at most the number of samples")
+
+    class Rows:
+        """A user's regridder: one place for each row of cells."""
+
+        key = "row"
+
+        def regrid(self, points):
+            return points.groupBy("t_idx", "t", F.floor("lat").cast("long").alias("row")).agg(F.avg("w").alias("w"), F.avg("lat").alias("lat"), F.lit(0.0).alias("lon"))
+
+        def labels_back(self, points, labels):
+            return points.withColumn("row", F.floor("lat").cast("long")).join(labels, ["t_idx", "row"], "left").select("cell_id", "t_idx", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+    with pytest.raises(Exception, match="my own bug"):
+        done.compute_clusters("value_dts", Wrong(), output_label="x")
+    few = done.compute_clusters("value_dts", Few(), output_label="x").get_clusters("x")
+    assert few.count() > 0 and few.where("cluster >= 0").count() == 0
+    for method in (DBSCAN(4000.0, 2), HDBSCAN(4), SparkML(KMeans(k=2, seed=1))):
+        back = done.compute_clusters("value_dts", method, regridder=Rows(), output_label="x").get_clusters("x")
+        assert back.count() == few.count() and back.where("cluster >= 0").count() > 0
+    assert {r[0] for r in back.select("cluster").distinct().collect()} == {0, 1}
+
+
+def test_small_helpers(done, caplog):
+    lab = done.get_clusters("value_dts_cluster_d")
+    with caplog.at_level("WARNING", "shiftlab"):
+        assert masks.existing_ids(lab, [0, 999]) == [0] and "999" in caplog.text
+    assert masks.is_equal_to([-1], -1) and masks.is_equal_to(-1, -1) and not masks.is_equal_to([-1, 0], -1) and masks.contains_value([1, -1], -1) and not masks.contains_value(3, -1)
+    assert np.allclose(polyfit(np.arange(5), np.arange(5) ** 2, 2), [1, 0, 0])
+    with pytest.raises(NotImplementedError):
+        done.preprocess.preprocess()
+
+
+def test_dimension_to_variables(spark, monkeypatch):
+    df = spark.createDataFrame([(k, m, float(10 * k + m)) for k in range(3) for m in range(4)], "k int, m int, v double")
+    assert series.dimension_to_variables(df, "v", "m", ["k"]).columns == ["k", "v_m_0", "v_m_1", "v_m_2", "v_m_3"]
+    kept = series.dimension_to_variables(df, "v", "m", ["k"], drop_original=False)
+    assert kept.count() == 12 and kept.where("k = 2 and m = 1").first().v_m_3 == 23
+    monkeypatch.setattr(series, "MAX_MEMBERS", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        series.dimension_to_variables(df, "v", "m", ["k"])
+
+
+def test_synthetic_truth(spark):
+    """Without noise each shifted cell steps up at its labelled step, by the magnitudes of the truth."""
+    truth = synth.shift_parameters(2, 5)
+    df = synth.global_dataset(spark, 12, 24, 60, background_noise=0.0, n_shifts=2, random_seed=5).toPandas()
+    cells = [x.sort_values("t_idx") for _, x in df.groupby("cell_id")]
+    marked = [x for x in cells if x.shift_label.any()]
+    assert truth[0]["center_time"] == 20 and truth[1]["center_time"] == 70 and 0 < len(marked) < len(cells)
+    for x in cells:
+        v, steps = x.value.to_numpy(), np.flatnonzero(x.shift_label)
+        if not len(steps):
+            assert np.ptp(v) < 1e-9
+        elif len(steps) == 1:
+            assert steps[0] < 59 and abs(np.argmax(np.diff(v)) + 0.5 - steps[0]) < 1 and 0.9 < v[-1] < 1.1 or steps[0] == 59
+
+
+def test_no_shared_folder(spark, monkeypatch):
+    """Only a local session may go without a shared folder."""
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(dict)  # noqa: N815
+
+    class Session:
+        sparkContext = Context  # noqa: N815
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session)
+
+
 def test_save_and_load(spark, done, tmp_path):
     path = done.drop_clusters("value_dts_cluster_h").save(str(tmp_path / "cube"), "x")
     back = ShiftCube.load(spark, path)

@@ -7,7 +7,6 @@ import __spark_entry__ as entry
 from shiftlab.plans.queries import REGISTRY
 
 SF = "/root/testdata/sf0.01"
-SLOW = {"a12_jaccard_consistency", "a13_consensus_summary", "c16_optimise", "g5_score_overview", "q8_q14_all_stats", "c10_consensus_irregular", "c10_consensus_healpix", "c1_compute_clusters_healpix_dbscan"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +21,7 @@ def plain(rows):
     return sorted([tuple(None if x is None else round(x, 5) + 0.0 if isinstance(x, float) else x for x in r) for r in rows], key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in REGISTRY if n not in SLOW))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     columns = sorted(df.columns)
