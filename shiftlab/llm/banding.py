@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 from .components import connected_components
 
 #: Sets of a bucket that meet in one task, and shingles that are hashed together.
@@ -40,10 +40,18 @@ def band_hashes(shingles: np.ndarray, mixes: np.ndarray, bands: int) -> np.ndarr
     return mixed((rows * (places | np.uint64(1))).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
+def window_bands(shingles: np.ndarray, at: np.ndarray, width: int, mixes: np.ndarray) -> np.ndarray:
+    """The one band of all `mixes` of the `width` shingles from each of the places `at`."""
+    s = mixed(shingles)
+    least = np.stack([np.lib.stride_tricks.sliding_window_view(s * m, width)[at].min(axis=1) for m in mixes], axis=1)
+    places = np.arange(1, len(mixes) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed((mixed(least) * (places | np.uint64(1))).sum(axis=1, dtype=np.uint64))
+
+
 def colliding(buckets: DataFrame) -> DataFrame:
     """(value, hash, size): the rows (value, hash) of buckets of more than one set. The rows must be distinct."""
     sizes = buckets.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return cut(buckets.join(sizes, "value"))
+    return written(buckets.join(sizes, "value"))
 
 
 def _verified(table: pa.Table, similarity: float) -> pa.Table:
@@ -86,7 +94,7 @@ def linked(met: DataFrame, sets: DataFrame, similarity: float, chunk: int = CHUN
     labels = comps.select(F.col("id").alias("hash"), "component")
     named = met.select("value", "hash").join(labels, "hash", "left").select("value", "hash", F.coalesce("component", "hash").alias("label"))
     of_centre = centres.join(labels.withColumnRenamed("hash", "centre"), "centre", "left").select("value", "centre", F.coalesce("component", "centre").alias("main"))
-    members = cut(named.join(of_centre, "value").where("hash != centre").select("value", "hash", "label", (F.col("label") != F.col("main")).alias("loose")))
+    members = written(named.join(of_centre, "value").where("hash != centre").select("value", "hash", "label", (F.col("label") != F.col("main")).alias("loose")))
     several = members.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("loose"), True)).alias("n_loose"), F.expr("bit_xor(xxhash64(hash))").alias("x"), F.expr("bit_xor(xxhash64(hash, 1))").alias("y")).where("low != high")
     # buckets of the same sets are one
     once = several.groupBy("n", "x", "y").agg(F.min(F.struct("value", "n_loose")).alias("v")).select("v.value", F.ceil(F.col("v.n_loose") / chunk).cast("int").alias("loose_chunks"), F.ceil((F.col("n") - F.col("v.n_loose")) / chunk).cast("int").alias("main_chunks"))

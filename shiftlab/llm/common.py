@@ -2,50 +2,46 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpoint_dir, cut  # noqa: F401
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by `spark.checkpoint.dir`; a folder of our own only where that is unset (tests)."""
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = getattr(checkpoint_dir, "own", None)
-        if d is None:
-            d = checkpoint_dir.own = "file://" + tempfile.mkdtemp(prefix="shiftlab-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+_scopes: list[list[str]] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that operators wrote inside, whose results must be read or written inside too."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any of Spark's file systems."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Writes `df` as a Parquet table in the shared folder and reads it again."""
-    path = f"{checkpoint_dir(df.sparkSession)}/shiftlab-{os.getpid()}-{uuid.uuid4().hex}"
+    """Writes `df` as a Parquet table in the shared folder and reads it again. The table stays unless it is made inside `scratch`."""
+    path = f"{checkpoint_dir(df.sparkSession)}/shiftlab-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what nothing refers to any more, which it does as the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

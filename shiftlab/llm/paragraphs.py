@@ -6,10 +6,10 @@ its neighbourhood), which also find a passage that was put into the middle of a
 passage of 50 words holds several anchors, the same ones in all documents; a run of one word has
 one at its start and one at every `MIN_WORDS` further.
 
-Lines get MinHash signatures over shingles of five words, in `BANDS` bands of `BAND_ROWS`: of two lines with
-a Jaccard similarity of 0.8 all but 0.08 % agree in a band. Where they meet, their exact Jaccard similarity
-decides, and connected components of the verified links are the clusters. A window has 20 shingles, of which two at most could
-differ at that similarity, so windows must be equal, and their hash, the one band of all shingles, is their cluster. Of each
+Both get MinHash signatures over shingles of five words: lines `BANDS` bands of `BAND_ROWS` minima, so that of two with
+a Jaccard similarity of 0.8 all but 0.08 % agree in a band; windows, of which a passage has several, one band, in which equal ones agree always and
+those at 0.8 (that is, with two of 20 shingles replaced) with a chance of one half. Where paragraphs agree, their exact Jaccard similarity
+decides, and connected components of the verified links are the clusters. Of each
 cluster the first place (by doc_id, then by word) stays.
 
 Equal paragraphs are collapsed before, and only paragraphs that collide are looked at again.
@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .banding import CHUNK, band_hashes, colliding, linked, mixed, multipliers
-from .common import cut, documents, id_text, texts, written
+from .banding import CHUNK, band_hashes, colliding, linked, mixed, multipliers, window_bands
+from .common import documents, id_text, texts, written
 from .components import connected_components
 
 SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 10, 3
@@ -82,18 +82,23 @@ def _bands(h: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return np.stack([band_hashes(s[a : b - SHINGLE + 1], _MIXES, BANDS) for a, b in spans])
 
 
+def _windows(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(band, check) of the windows from each of the places."""
+    return window_bands(_rolled(h, SHINGLE), at, MIN_WORDS - SHINGLE + 1, _MIXES[:BAND_ROWS]), _rolled(h, MIN_WORDS, at).astype(np.uint32).view(np.int32)
+
+
 _BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
-_UNITS = "doc_id long, start int, end int, hash long, " + ", ".join(f"{c} long" for c in _BAND_COLUMNS)
+_UNITS = "doc_id long, start int, end int, hash long, check int, " + ", ".join(f"{c} long" for c in _BAND_COLUMNS)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, end, hash, bands) of the paragraphs; end and bands are null for windows, which have one length."""
+    """(doc_id, start, end, hash, check, bands) of the paragraphs. Of a line, the hash of all its words and its bands; of a window, which has one length, its one band, and a check that tells apart windows that agree in it."""
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        ids, starts, ends, hashes, bands = (np.concatenate(x) for x in zip(*rows, strict=True))
-        none = bands[:, 0] == 0
-        columns = [pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends.astype(np.int32), mask=none), pa.array(hashes.view(np.int64))]
-        return pa.RecordBatch.from_arrays([*columns, *(pa.array(bands[:, i].view(np.int64), mask=none) for i in range(BANDS))], names=["doc_id", "start", "end", "hash", *_BAND_COLUMNS])
+        ids, starts, ends, hashes, checks, bands = (np.concatenate(x) for x in zip(*rows, strict=True))
+        windows = ends == 0
+        columns = [pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends.astype(np.int32), mask=windows), pa.array(hashes.view(np.int64)), pa.array(checks, mask=~windows)]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(bands[:, i].view(np.int64), mask=windows) for i in range(BANDS))], names=["doc_id", "start", "end", "hash", "check", *_BAND_COLUMNS])
 
     for b in batches:
         rows, held = [], 0
@@ -102,11 +107,11 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(h) < MIN_WORDS:
                 continue
             at = anchors(h)
-            rows.append((np.full(len(at), doc), at, at + MIN_WORDS, _rolled(h, MIN_WORDS, at), np.zeros((len(at), BANDS), np.uint64)))
+            rows.append((np.full(len(at), doc), at, np.zeros(len(at), np.int64), *_windows(h, at), np.zeros((len(at), BANDS), np.uint64)))
             spans = _lines(text)
             if len(spans):
                 whole = np.array([xxhash.xxh64_intdigest(h[a:e].tobytes()) for a, e in spans], np.uint64)
-                rows.append((np.full(len(spans), doc), spans[:, 0], spans[:, 1], whole, _bands(h, spans) | np.uint64(1)))
+                rows.append((np.full(len(spans), doc), spans[:, 0], spans[:, 1], whole, np.zeros(len(spans), np.int32), _bands(h, spans)))
             held += len(h)
             if held > PIECE:
                 yield batch(rows)
@@ -116,30 +121,23 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, shingles): the sorted distinct shingle hashes of each wanted line."""
+    """(hash, shingles): the sorted distinct shingle hashes of each wanted paragraph."""
     for b in batches:
         hashes, sets = [], []
         for text, wanted in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
             h = _hashes(text)
             for w in wanted:
                 own = h[w["start"] : w["end"]]
-                if np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64) == w["hash"]:
+                if w["check"] is None:
+                    same = np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64) == w["hash"]
+                else:
+                    same = len(own) == MIN_WORDS and _windows(own, np.zeros(1, int))[1][0] == w["check"]
+                if same:
                     hashes.append(w["hash"])
                     sets.append(np.unique(_rolled(own, SHINGLE)).view(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["hash", "shingles"])
 
 
-def _line_clusters(docs: DataFrame, lines: DataFrame, similarity: float, chunk: int) -> DataFrame:
-    """(hash, cluster) of the distinct lines that are near another."""
-    distinct = lines.groupBy("hash").agg(*[F.first(c).alias(c) for c in _BAND_COLUMNS])
-    met = colliding(distinct.select(F.explode(F.array(*_BAND_COLUMNS)).alias("value"), "hash"))
-    places = lines.select("hash", "doc_id", "start", "end").join(met.select("hash").distinct(), "hash").groupBy("hash").agg(F.min(F.struct("doc_id", "start", "end")).alias("p"))
-    wanted = places.groupBy("p.doc_id").agg(F.collect_list(F.struct("hash", "p.start", "p.end")).alias("wanted"))
-    # of rows that repeat an id with other texts, only those that hold the line have it
-    sets = written(docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_sets, "hash long, shingles array<long>").dropDuplicates(["hash"]))
-    return connected_components(linked(met, sets, similarity, chunk)).select(F.col("id").alias("hash"), F.col("component").alias("cluster"))
-
-
 def repeats(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, start, end, cluster, first): the paragraphs, in words, that repeat across documents, with the cluster of each and whether it is the place that stays.
 
@@ -148,17 +146,32 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK)
     """
     docs = id_text(docs).where("doc_id is not null and text is not null")
     units = written(docs.mapInArrow(_units, _UNITS))
-    lines, windows = units.where("b0 is not null"), units.where("b0 is null").select("doc_id", "start", F.col("hash").alias("cluster"))
-    clusters = _line_clusters(docs, lines, similarity, chunk)
-    # every line belongs to the cluster of its own hash at least
-    named = lines.select("doc_id", "start", "end", "hash").join(clusters, "hash", "left").select("doc_id", "start", "end", F.coalesce("cluster", "hash").alias("cluster"))
+    lines = units.where("end is not null")
+    windows = units.where("end is null").select("doc_id", "start", F.col("hash").alias("value"), "check")
+
+    # windows that agree with one of another document; where all of them are equal there is nothing to verify
+    repeated = windows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
+    agreeing = written(windows.join(repeated, "value").distinct())
+    shared = agreeing.groupBy("value").agg(F.min("check").alias("low"), F.max("check").alias("high"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("value", (F.col("low") != F.col("high")).alias("mixed"))
+    found = written(agreeing.join(shared, "value").select("doc_id", "start", (F.col("start") + MIN_WORDS).alias("end"), F.xxhash64("value", "check").alias("hash"), "value", "check", "mixed"))
+    differing = found.where("mixed")
+    distinct = lines.groupBy("hash").agg(*[F.first(c).alias(c) for c in _BAND_COLUMNS])
+    met = colliding(distinct.select(F.explode(F.array(*_BAND_COLUMNS)).alias("value"), "hash")).unionByName(colliding(differing.select("value", "hash").distinct()))
+
+    columns = ["hash", "check", "doc_id", "start", "end"]
+    places = lines.select(*columns).join(met.select("hash").distinct(), "hash").unionByName(differing.select(*columns)).groupBy("hash").agg(F.min(F.struct("doc_id", "start", "end", "check")).alias("p"))
+    wanted = places.groupBy("p.doc_id").agg(F.collect_list(F.struct("hash", "p.start", "p.end", "p.check")).alias("wanted"))
+    # of rows that repeat an id with other texts, only those that hold the paragraph have it
+    sets = written(docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_sets, "hash long, shingles array<long>").dropDuplicates(["hash"]))
+    clusters = connected_components(linked(met, sets, similarity, chunk)).select(F.col("id").alias("hash"), F.col("component").alias("cluster"))
+
     out = None
-    for part in (windows, named):
-        several = part.groupBy("cluster").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("other")).where("head < other").select("cluster", "head")
-        members = cut(part.join(several, "cluster").distinct())
+    for part in (found, lines):  # every paragraph belongs to the cluster of its own hash at least
+        named = part.select("hash", "doc_id", "start", "end").join(clusters, "hash", "left").select("doc_id", "start", "end", F.coalesce("cluster", "hash").alias("cluster"))
+        several = named.groupBy("cluster").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("other")).where("head < other").select("cluster", "head")
+        members = written(named.join(several, "cluster").distinct())
         starts = members.where("doc_id = head").groupBy("cluster").agg(F.min("start").alias("from"))
-        end = F.col("end") if "end" in part.columns else F.col("start") + MIN_WORDS
-        one = members.join(starts, "cluster").select("doc_id", "start", end.alias("end"), "cluster", ((F.col("doc_id") == F.col("head")) & (F.col("start") == F.col("from"))).alias("first"))
+        one = members.join(starts, "cluster").select("doc_id", "start", "end", "cluster", ((F.col("doc_id") == F.col("head")) & (F.col("start") == F.col("from"))).alias("first"))
         out = one if out is None else out.unionByName(one)
     return out
 

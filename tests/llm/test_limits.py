@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from shiftlab.llm import decontaminate, embedding_join, html_text, langid, pii, piece_model, ppm, quality
+from shiftlab.llm import banding, decontaminate, embedding_join, html_text, langid, paragraphs, pii, piece_model, ppm, quality
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -308,3 +308,22 @@ def test_op10_letters_and_parts(spark, monkeypatch):
         monkeypatch.setattr(langid, "PIECE", size)
         whole.append(np.concatenate(list(langid._buckets(codes))))
     assert all((w == whole[0]).all() for w in whole) and len(whole[0]) == 2 * len(codes) - 3
+
+
+def test_op8_windows_through_bands(spark):
+    """The band of a window is that of its shingles; windows that differ in their last words are linked where they agree in it and at 0.8, never below."""
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    s, at = paragraphs._rolled(h, paragraphs.SHINGLE), np.array([0, 7, 200, 276])
+    mixes = paragraphs._MIXES[: paragraphs.BAND_ROWS]
+    want = [banding.band_hashes(s[i : i + 20], mixes, 1)[0] for i in at]
+    assert banding.window_bands(s, at, 20, mixes).tolist() == want == paragraphs._windows(h, at)[0].tolist()
+    pick = random.Random(4)
+    word = lambda: "".join(pick.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for k in range(60):
+        base = [word() for _ in range(24)]
+        rows += [(3 * k, " ".join(base)), (3 * k + 1, " ".join(base[:-1] + [word()])), (3 * k + 2, " ".join(base[:12] + [word()] + base[13:]))]
+    found = paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id % 3 for r in found} == {0, 1} and len({r.doc_id // 3 for r in found}) >= 30
+    assert all(len({r.doc_id // 3 for r in found if r.cluster == c}) == 1 for c in {r.cluster for r in found})
