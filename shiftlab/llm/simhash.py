@@ -6,7 +6,7 @@ each fingerprint enters a table of each segment and looks up the ball of radius
 its segment there; complete distances decide. Of a pair whose segments differ in one bit, the
 one with the zero bit looks up the other, so that half of the ball is enough.
 
-Equal fingerprints are collapsed before, and each task returns the components of the links
+Buckets of many rows are counted before and dealt in chunks that meet two by two. Equal fingerprints are collapsed before, and each task returns the components of the links
 that it found instead of all pairs, so a group of copies costs one row for each member.
 """
 
@@ -28,6 +28,8 @@ RADIUS = 3
 #: MinHash bands of `similar`, and minima of each.
 BANDS, BAND_ROWS = 32, 6
 CHUNK = 1 << 16
+#: Rows of a bucket that meet in one task, and buckets of more rows whose numbers of chunks are broadcast, of a few dozen bytes each.
+BUCKET, MAX_HOT = 1 << 13, 100_000
 
 
 def hashed(words: list[bytes], width: int) -> list[int]:
@@ -69,12 +71,13 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Of one partition of the tables, the forest of the links."""
-    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for b in batches if b.num_rows]
+    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(5)] for b in batches if b.num_rows]
     if not parts:
         return
-    seg, key, fp, probe = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((probe, key, seg))
-    where, fp, probe = (key * 2 + seg)[order], fp[order], probe[order]
+    seg, key, pair, fp, probe = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((probe, pair, key, seg))
+    seg, key, pair, fp, probe = (x[order] for x in (seg, key, pair, fp, probe))
+    where = np.cumsum(np.append(0, (seg[1:] != seg[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])))
     a, b, held = [], [], 0
     at, lag = np.arange(len(fp) - 1), 1
     while len(at := at[at + lag < len(fp)]):
@@ -93,8 +96,8 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints `fp` within `radius` <= 3 bits; their components are those of all such pairs."""
+def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) that connect all fingerprints `fp` within `radius` <= 3 bits; their components are those of all such pairs. Buckets of more than `bucket` rows are dealt in chunks that meet two by two."""
     if radius > 3:
         raise ValueError("two segments with balls of radius one reach three bits")
     flips = F.expr("transform(sequence(0, 31), j -> shiftleft(1L, j))")
@@ -106,7 +109,13 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         return F.concat(F.array(row(own, False)), ball)
 
     rows = distinct.select("fp", F.explode(F.concat(table(0), table(1))).alias("t")).select("t.seg", "t.key", "fp", "t.probe")
-    return rows.repartition("seg", "key").mapInArrow(lambda b: _links(b, radius), "a long, b long")
+    hot = cut(rows.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("seg", "key", F.ceil(F.col("n") / bucket).cast("int").alias("chunks")))
+    few = F.broadcast(hot) if hot.count() <= MAX_HOT else hot  # beyond, they meet by a shuffle
+    chunks = F.coalesce("chunks", F.lit(1))
+    own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.least(o, own) * F.lit(1 << 15) + F.greatest(o, own))
+    dealt = rows.join(few, ["seg", "key"], "left").select("seg", "key", F.explode(pairs).alias("pair"), "fp", "probe")
+    return dealt.repartition("seg", "key", "pair").mapInArrow(lambda b: _links(b, radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3) -> DataFrame:

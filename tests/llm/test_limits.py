@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from shiftlab.llm import banding, decontaminate, embedding_join, html_text, langid, paragraphs, pii, piece_model, ppm, quality
+from shiftlab.llm import banding, decontaminate, embedding_join, html_text, langid, paragraphs, pii, piece_model, ppm, quality, simhash
+from shiftlab.llm.components import connected_components
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -327,3 +328,20 @@ def test_op8_windows_through_bands(spark):
     found = paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id % 3 for r in found} == {0, 1} and len({r.doc_id // 3 for r in found}) >= 30
     assert all(len({r.doc_id // 3 for r in found if r.cluster == c}) == 1 for c in {r.cluster for r in found})
+
+
+def test_op5_buckets_in_chunks(spark):
+    """Many fingerprints with one segment in common are linked alike whatever the chunks."""
+    rng = random.Random(2)
+    fps = {(7 << 32) | rng.getrandbits(10) for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)}
+    fps = sorted(x - (1 << 64) if x >= 1 << 63 else x for x in fps)
+    up = {x: x for x in fps}
+    for x in fps:
+        for y in fps:
+            if x < y and ((x ^ y) % (1 << 64)).bit_count() <= 3 and up[x] != up[y]:
+                low, high = sorted((up[x], up[y]))
+                up = {k: low if v == high else v for k, v in up.items()}
+    table = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for bucket in (1 << 13, 16):
+        found = {r.id: r.component for r in connected_components(simhash.links(table, bucket=bucket)).collect()}
+        assert {x: found.get(x, x) for x in fps} == up
