@@ -9,9 +9,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import functions as F
-
 from . import stats
+from .masks import top_clusters
 
 #: Clusters that an objective looks at; trials drawn at random before the search is guided; candidates of a guided draw; the share of trials that counts as good.
 TOP, STARTUP, CANDIDATES, GOOD = 10, 10, 24, 0.25
@@ -73,11 +72,6 @@ def guided(past: list[tuple[float, dict[str, Any]]], rng: random.Random) -> Call
     return draw
 
 
-def _first(labels, n: int = TOP):
-    ids = labels.where("cluster >= 0").select("cluster").distinct().orderBy("cluster").limit(n)
-    return labels.join(F.broadcast(ids), "cluster", "left_semi")
-
-
 def _mean(df, how: str = "mean") -> float:
     value = stats.aggregate_scores(df, how).first()[0]
     return float("nan") if value is None else float(value)
@@ -90,7 +84,7 @@ def _base(cube: Any) -> str:
 
 def combined_spatial_nonlinearity(cube: Any, labels: Any, weights: tuple[float, float] = (1.0, 1.0)) -> float:
     """The weighted sum of the medians of spatial autocorrelation and nonlinearity of the first ten clusters."""
-    own, var = _first(labels), _base(cube)
+    own, var = top_clusters(labels, TOP), _base(cube)
     a = _mean(stats.score_spatial_autocorrelation(cube.grid, var, own), "median")
     b = _mean(stats.score_nonlinearity(cube.grid, var, own, cube.times), "median")
     return weights[0] * a + weights[1] * b
@@ -98,7 +92,7 @@ def combined_spatial_nonlinearity(cube: Any, labels: Any, weights: tuple[float,
 
 def _score(name: str, how: str) -> Callable[[Any, Any], float]:
     def run(cube: Any, labels: Any) -> float:
-        own, var = _first(labels), _base(cube)
+        own, var = top_clusters(labels, TOP), _base(cube)
         each = {
             "heaviside": lambda: stats.score_heaviside(cube.grid, var, own, cube.times, how=how),
             "consistency": lambda: stats.score_consistency(cube.grid, var, own),

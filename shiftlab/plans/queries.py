@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpoint_dir
 from ..cube import BASE, CLUSTER, SHIFT, ShiftCube
-from ..functions.geo import ang2pix, geodetic_to_cartesian, pix2ang, unit_sphere
+from ..functions.geo import ang2pix, auto_nside, geodetic_to_cartesian, pix2ang, unit_sphere
 from ..operators import cluster as cl
 from ..operators import consensus as co
 from ..operators import detect as de
@@ -244,7 +246,20 @@ _add("a13_consensus_summary", "cluster:l mean_consistency:d size:l mean_y:d mean
 _add("c10_consensus_healpix", "cell_id:l cluster:l consistency:d", lambda c: co.consensus(_maps(c), c.cells, "latlon", 0.6), None)
 _add("c10_consensus_irregular", "cell_id:l cluster:l consistency:d", lambda c: co.consensus(_maps(c), c.cells, "irregular", 0.6), None)
 _add("c11_connected_components", "node:l component:l", lambda c: graph.connected_components(c.spark.range(200).select(F.col("id").alias("src"), F.least(F.col("id") + 1 + F.col("id") % 3, F.lit(199)).alias("dst")).where("src % 7 != 0 and dst != src")), "WITH RECURSIVE e AS (SELECT r AS a, least(r + 1 + r % 3, 199) AS b FROM range(0, 200) t(r) WHERE r % 7 <> 0 AND least(r + 1 + r % 3, 199) <> r), n AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), rc(a, b) AS (SELECT DISTINCT a, a FROM n UNION SELECT rc.a, n.b FROM rc JOIN n ON rc.b = n.a) SELECT a AS node, min(b) AS component FROM rc GROUP BY a")
+# what builds, keeps and names cubes
+_add("s2_from_dataframe", "cell_id:l y_idx:l x_idx:l t_idx:l v:d", lambda c: ShiftCube.from_dataframe(c.grid.select(F.col("t_idx").cast("double").alias("month"), F.col("y_idx").alias("y"), F.col("x_idx").alias("x"), "v"), "month", "y", "x", ["v"]).grid, "SELECT cell_id, y_idx, x_idx, dense_rank() OVER (ORDER BY t_idx) - 1 AS t_idx, v FROM grid")
+_add("s3_renamed_coordinates", "cell_id:l lat:d lon:d", lambda c: ShiftCube.from_dataframe(c.grid.join(F.broadcast(c.cells.select("cell_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))), "cell_id").select(F.col("t_idx").cast("double").alias("month"), "latitude", "longitude", "v"), "month", values=["v"]).cells, "SELECT cell_id, lat, lon FROM cells")
+_add("s4_save_and_load", "cell_id:l t_idx:l cluster:l", lambda c: _reloaded(c).get_clusters("map_a"), "SELECT * FROM labels")
+_add("s6_shift_blob", "cell_id:l t_idx:l value:d shift_label:l", lambda c: synth.add_shift_blob(c.cells.select("cell_id", "lat", "lon", F.lit(0.0).alias("value"), F.lit(0).alias("shift_label")).crossJoin(F.broadcast(c.times.select("t_idx", "t"))), c.axis, (20.0, -75.0), (25.0, 60.0), 30, 1.0, sigma=0.0), "SELECT cell_id, t_idx, CASE WHEN bell > 0.5 THEN 1 / (1 + exp(-2.0 * (t_idx - 30))) ELSE 0 END AS value, CASE WHEN bell > 0.5 AND t_idx = 30 THEN 1 ELSE 0 END AS shift_label FROM (SELECT cell_id, " + " + ".join(f"exp(-0.5 * (pow((lat - 20) / 25.0, 2) + pow((lon + 75 + {turn}) / 60.0, 2)))" for turn in ("0", "360", "(-360)")) + " AS bell FROM cells) CROSS JOIN times")
+_add("f17_drop_clusters", "name:s", lambda c: c.spark.createDataFrame([(n,) for n in c.drop_clusters("map_b").catalog], "name string"), "SELECT unnest(['v', 'v_dts', 'map_a', 'map_c']) AS name")
+_add("t4_segment_lengths", "low:l high:l", lambda c: c.spark.createDataFrame([de.ASDETECT().lengths(np.array(c.axis))], "low int, high int"), "SELECT 5 AS low, n_t // 3 AS high FROM dm")
+_add("m6_auto_nside", "n:l nside:l", lambda c: c.spark.createDataFrame([(n, auto_nside(n)) for n in range(4, 20_000, 37)], "n int, nside int"), "SELECT n, CAST(pow(2, ceil(0.5 * log2(n / 12.0))) AS BIGINT) AS nside FROM range(4, 20000, 37) t(n)")
+_add("l3_first_ten_clusters", "cell_id:l t_idx:l cluster:l", lambda c: masks.top_clusters(_la(c), 10), "SELECT cell_id, t_idx, cluster FROM labels WHERE cluster IN (SELECT DISTINCT cluster FROM members ORDER BY cluster LIMIT 10)")
+_add("a16_aggregate_callable", "score:d", lambda c: c.stats("map_a").aggregate_cluster_scores("score_heaviside", max), f"SELECT max(score) AS score FROM ({_heavi})")
+_add("g5_score_overview_parts", "cluster:l size:l score_heaviside:d score_spatial_autocorrelation:d score_nonlinearity:d mean_y:d mean_x:d mean_shift_time:d std_shift_time:d", lambda c: c.stats("map_a").score_overview(), f"SELECT m.*, h.score AS score_heaviside, a.score AS score_spatial_autocorrelation, n.score AS score_nonlinearity, mean_shift_time, std_shift_time FROM (SELECT cluster, count(*) AS size, avg(lat) AS mean_y, avg(lon) AS mean_x FROM members JOIN cells USING (cell_id) GROUP BY cluster) m LEFT JOIN ({_heavi}) h USING (cluster) LEFT JOIN ({_auto}) a USING (cluster) LEFT JOIN ({_nonlin}) n USING (cluster) LEFT JOIN (SELECT cluster, avg(t_idx) AS mean_shift_time, stddev_pop(t_idx) AS std_shift_time FROM foot JOIN global_peaks USING (cell_id) WHERE abs(dts) > 0 GROUP BY cluster) t USING (cluster)")
 # the user's own functions and synthetic data
+_add("c7_user_regridder", "cell_id:l t_idx:l cluster:l", lambda c: cl.cluster_points(se.above(_sh(c), 0.3), c.times, c.cells, _BySign(), "latlon", regridder=_Rows(), sort_by_size=False), "SELECT cell_id, t_idx, CASE WHEN avg(abs(dts)) OVER (PARTITION BY t_idx, y_idx) > 0.5 THEN 1 ELSE 0 END AS cluster FROM sel_a")
+_add("c8_too_few_points", "cell_id:l t_idx:l cluster:l", lambda c: cl.cluster_points(se.above(_sh(c), 0.3), c.times, c.cells, _TooFew(), "native"), "SELECT cell_id, t_idx, -1 AS cluster FROM sel_a")
 _add("t2_user_detector", "cell_id:l t_idx:l dts:d", lambda c: c.compute_shifts("v", de.MeanDifference(10)).tables["v_dts_1"], REGISTRY["t18_mean_difference"].sql)
 _add("c2_user_clusterer", "cell_id:l t_idx:l cluster:l", lambda c: cl.cluster_points(se.above(_sh(c), 0.3), c.times, c.cells, _BySign(), "native", sort_by_size=False), "SELECT cell_id, t_idx, CASE WHEN abs(dts) > 0.5 THEN 1 ELSE 0 END AS cluster FROM sel_a")
 _add("s5_global_dataset", "cell_id:l t_idx:l value:d shift_label:l", lambda c: synth.global_dataset(c.spark, 12, 24, 60), None)
@@ -258,6 +273,31 @@ class _BySign:
         return (y > 0.5).astype(int)
 
 
+@dataclass(frozen=True)
+class _TooFew:
+    """A clusterer that asks for more points than there are."""
+
+    def fit_predict(self, X: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:  # noqa: N803
+        raise ValueError(f"min_samples ({len(X) + 1}) must be at most the number of samples")
+
+
+class _Rows:
+    """A regridder as a user would write one: one place for each row of cells."""
+
+    key = "row"
+
+    def regrid(self, points: DataFrame) -> DataFrame:
+        return points.groupBy("t_idx", "t", F.col("y_idx").cast("long").alias("row")).agg(F.avg("w").alias("w"), F.avg("lat").alias("lat"), F.lit(0.0).alias("lon"))
+
+    def labels_back(self, points: DataFrame, labels: DataFrame) -> DataFrame:
+        return points.join(labels.withColumnRenamed("row", "y_idx"), ["t_idx", "y_idx"], "left").select("cell_id", "t_idx", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def _reloaded(c: ShiftCube) -> ShiftCube:
+    few = replace(c, tables={"map_a": _la(c)}, catalog={n: c.catalog[n] for n in ("v", "map_a")})
+    return ShiftCube.load(c.spark, few.save(f"{checkpoint_dir(c.spark)}/cube-{uuid4().hex}"))
+
+
 def _events_time(c: ShiftCube) -> DataFrame:
     from ..functions.times import seconds_since_first
 
