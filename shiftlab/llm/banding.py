@@ -32,20 +32,42 @@ def multipliers(bands: int, rows: int) -> np.ndarray:
 
 def band_hashes(shingles: np.ndarray, mixes: np.ndarray, bands: int) -> np.ndarray:
     """A hash of the minima of each band of a set of hashed shingles, repeated ones being allowed."""
-    s, least = mixed(shingles), np.full(len(mixes), ~np.uint64(0))
+    return _hashed(_least(mixed(shingles), mixes)[None], bands)[0]
+
+
+def _least(s: np.ndarray, mixes: np.ndarray) -> np.ndarray:
+    least = np.full(len(mixes), ~np.uint64(0))
     for i in range(0, len(s), TOGETHER):
         np.minimum(least, (s[i : i + TOGETHER, None] * mixes).min(axis=0), out=least)
-    rows = mixed(least.reshape(bands, -1))
-    places = np.arange(1, rows.shape[1] + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mixed((rows * (places | np.uint64(1))).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
+    return least
+
+
+def _hashed(least: np.ndarray, bands: int) -> np.ndarray:
+    """Of rows of minima, the hashes of their bands."""
+    rows = mixed(least.reshape(len(least), bands, -1))
+    places = np.arange(1, rows.shape[2] + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed((rows * (places | np.uint64(1))).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
+
+
+def spans_bands(shingles: np.ndarray, spans: np.ndarray, mixes: np.ndarray, bands: int) -> np.ndarray:
+    """The band hashes of the parts (start, end) of a row of shingles; parts are in order, none empty, and don't touch. Those within `TOGETHER` shingles are looked at together."""
+    s, least, i = mixed(shingles), np.empty((len(spans), len(mixes)), np.uint64), 0
+    while i < len(spans):
+        a = spans[i, 0]
+        j = max(i + 1, int(np.searchsorted(spans[:, 1], a + TOGETHER, "right")))
+        if j == i + 1:
+            least[i] = _least(s[a : spans[i, 1]], mixes)
+        else:
+            least[i:j] = np.minimum.reduceat(s[a : spans[j - 1, 1], None] * mixes, spans[i:j].ravel()[:-1] - a, axis=0)[::2]
+        i = j
+    return _hashed(least, bands)
 
 
 def window_bands(shingles: np.ndarray, at: np.ndarray, width: int, mixes: np.ndarray) -> np.ndarray:
     """The one band of all `mixes` of the `width` shingles from each of the places `at`."""
     s = mixed(shingles)
     least = np.stack([np.lib.stride_tricks.sliding_window_view(s * m, width)[at].min(axis=1) for m in mixes], axis=1)
-    places = np.arange(1, len(mixes) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mixed((mixed(least) * (places | np.uint64(1))).sum(axis=1, dtype=np.uint64))
+    return _hashed(least, 1)[:, 0]
 
 
 def colliding(buckets: DataFrame) -> DataFrame:

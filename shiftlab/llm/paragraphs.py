@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .banding import CHUNK, band_hashes, colliding, linked, mixed, multipliers, window_bands
+from .banding import CHUNK, colliding, linked, mixed, multipliers, spans_bands, window_bands
 from .common import documents, id_text, texts, written
 from .components import connected_components
 
@@ -78,8 +78,7 @@ def _lines(text: bytes) -> np.ndarray:
 
 def _bands(h: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """The band hashes of the lines."""
-    s = _rolled(h, SHINGLE)
-    return np.stack([band_hashes(s[a : b - SHINGLE + 1], _MIXES, BANDS) for a, b in spans])
+    return spans_bands(_rolled(h, SHINGLE), spans - [0, SHINGLE - 1], _MIXES, BANDS)
 
 
 def _windows(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,21 +120,31 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, shingles): the sorted distinct shingle hashes of each wanted paragraph."""
+    """(hash, shingles): the distinct shingle hashes of each wanted paragraph. Only the words of these are hashed, and all windows of a text together."""
+    hashed = lambda words: mixed(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
     for b in batches:
         hashes, sets = [], []
         for text, wanted in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
-            h = _hashes(text)
+            words = text.lower().split()
+            windows = [w for w in wanted if w["check"] is not None and w["end"] <= len(words)]
+            if windows:
+                at = np.array([w["start"] for w in windows])[:, None] + np.arange(MIN_WORDS)
+                needed, place = np.unique(at, return_inverse=True)
+                h = hashed([words[i] for i in needed.tolist()])[place.reshape(at.shape)]
+                check = mixed((h * _PLACE).sum(axis=1, dtype=np.uint64) + np.uint64(MIN_WORDS)).astype(np.uint32).view(np.int32)
+                n = MIN_WORDS - SHINGLE + 1
+                s = np.sort(mixed(sum((h[:, k : k + n] * _PLACE[k] for k in range(SHINGLE)), np.full((len(h), n), SHINGLE, np.uint64))), axis=1)
+                for i in np.flatnonzero(check == [w["check"] for w in windows]).tolist():
+                    hashes.append(windows[i]["hash"])
+                    sets.append(s[i] if (s[i, 1:] != s[i, :-1]).all() else np.unique(s[i]))
             for w in wanted:
-                own = h[w["start"] : w["end"]]
                 if w["check"] is None:
-                    same = np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64) == w["hash"]
-                else:
-                    same = len(own) == MIN_WORDS and _windows(own, np.zeros(1, int))[1][0] == w["check"]
-                if same:
-                    hashes.append(w["hash"])
-                    sets.append(np.unique(_rolled(own, SHINGLE)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["hash", "shingles"])
+                    h = hashed(words[w["start"] : w["end"]])
+                    if np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64) == w["hash"]:
+                        hashes.append(w["hash"])
+                        sets.append(np.unique(_rolled(h, SHINGLE)))
+        ends = np.cumsum([0, *map(len, sets)])
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))], names=["hash", "shingles"])
 
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:

@@ -319,6 +319,12 @@ def test_op8_windows_through_bands(spark):
     mixes = paragraphs._MIXES[: paragraphs.BAND_ROWS]
     want = [banding.band_hashes(s[i : i + 20], mixes, 1)[0] for i in at]
     assert banding.window_bands(s, at, 20, mixes).tolist() == want == paragraphs._windows(h, at)[0].tolist()
+    spans = np.array([(0, 20), (25, 60), (61, 62), (70, 296)])
+    own = paragraphs._MIXES
+    for together in (8, 100, 512):
+        banding.TOGETHER, kept = together, banding.TOGETHER
+        assert (banding.spans_bands(s, spans, own, paragraphs.BANDS) == [banding.band_hashes(s[a:b], own, paragraphs.BANDS) for a, b in spans]).all()
+        banding.TOGETHER = kept
     pick = random.Random(4)
     word = lambda: "".join(pick.choice("abcdefghij") for _ in range(7))
     rows = []
