@@ -40,6 +40,33 @@ def test_op1_cells_in_chunks(spark):
         assert [got[i] for i in range(len(x))] == (near.sum(axis=1) - 1).tolist()
 
 
+def test_op1_moves_vectors_in_passes(spark):
+    """However vectors are dealt, links are those of all pairs."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(4, 24))[rng.integers(0, 4, 300)] + rng.normal(size=(300, 24)) * 0.12, rng.normal(size=(900, 24))]).astype(np.float32)
+    x = np.concatenate([x, x[:50], -0.0 * x[:1], [[-0.0, 1.0] + [0.0] * 22, [0.0, 1.0] + [0.0] * 22]]).astype(np.float32)
+    d = x.astype(float)
+    norms = np.sqrt((d * d).sum(axis=1))
+    near = np.divide(d @ d.T, np.outer(norms, norms), out=np.zeros((len(d), len(d))), where=np.outer(norms, norms) > 0) >= 0.95
+    np.fill_diagonal(near, False)
+    up = list(range(len(x)))
+    for a, b in np.argwhere(np.triu(near)):
+        low, high = sorted((up[a], up[b]))
+        up = [low if u == high else u for u in up]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    made = []
+    written = embedding_join.written
+    embedding_join.written = lambda df: made.append(1) or written(df)
+    try:
+        for more, passes in (({"whole": True, "least": 600_000, "chunk": 150}, 2), ({"whole": False, "least": 1_500_000, "chunk": 150}, 2)):
+            made.clear()
+            got = {i: (n, c) for i, n, c in vectors(spark, rows, "float", **more)}
+            assert got == {i: (int(near[i].sum()), up[i]) for i in range(len(x))}, more
+            assert len(made) - 1 >= passes, more
+    finally:
+        embedding_join.written = written
+
+
 def test_op2_quotes_that_do_not_close():
     for junk in ('<a "', "<a b='", '<a "\'>', "<", "<!", "<![CDATA[", "<a<", "<div>", "<p><b>", "<li><ul>", "<td><b>", "</x>", "&", '<a class="'):
         page = "<p>first</p>" + junk * (1_000_000 // len(junk))
