@@ -138,6 +138,36 @@ def test_op3_zero_bytes(spark):
     assert len({ppm._coded(x) for x in (b"\0", b"\1", b"\1\1", b"\1\2", b"\0\1", b"\2")}) == 6
 
 
+def test_op3_contexts_run_on_across_words(spark):
+    """The query's score is that of a plain trie over the bytes of whole texts, and of nothing else."""
+    got = {r.doc_id: r for r in ppm.op3_ppm(spark, SMALL).collect()}
+    frame = pd.read_parquet(f"{SMALL}/documents.parquet")
+    streams = {d: b" " + b"".join(w + b" " for w in t.encode().lower().split()) + b"\n" for d, t in zip(frame.doc_id, frame.text)}
+    trie: dict[bytes, Counter] = defaultdict(Counter)
+    for d, s in streams.items():
+        if zlib.crc32(str(d).encode()) % 10:
+            for i in range(1, len(s)):
+                for j in range(max(0, i - 5), i + 1):
+                    trie[s[j:i]][s[i]] += 1
+    for d in list(streams)[::7] + [d for d in streams if got[d].held_out]:
+        s, total = streams[d], 0.0
+        for i in range(1, len(s)):
+            gone: set[int] = set()
+            for j in range(max(0, i - 5), i + 1):
+                seen = trie.get(s[j:i], {})
+                left = {y: m for y, m in seen.items() if y not in gone}
+                whole = sum(left.values()) + len(left)
+                if s[i] in left:
+                    total += np.log10(left[s[i]] / whole)
+                    break
+                if left:
+                    total += np.log10(len(left) / whole)
+                gone |= set(seen)
+            else:
+                total -= np.log10(256 - len(gone))
+        assert got[d].score == pytest.approx(total, rel=1e-6)
+
+
 def test_op4_unigram():
     """Ids of a unigram model written here equal the library's; what is kept is bounded by the longest piece, within a word and across words."""
     import sentencepiece
