@@ -310,6 +310,37 @@ def test_op9_against_plain_descent():
     assert np.allclose(model.scores(x), [1 / (1 + np.exp(model.threshold - np.dot(row, w))) for row in z], atol=1e-3)
 
 
+def test_op9_learns_from_all_pairs(spark):
+    """The weights minimise the loss of every pair of labelled documents, and the threshold is a quantile of all of them, whatever the bracket."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    texts, y = [], []
+    for i in range(300):
+        y.append(int(rng.random() < 0.6))
+        words = [word(rng.randint(2, 6 + 3 * y[-1])) for _ in range(rng.randint(5, 60))]
+        texts.append(" ".join(w.upper() if rng.random() < 0.2 - 0.1 * y[-1] else w + "." * (rng.random() < 0.1 + 0.1 * y[-1]) for w in words))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, v) for i, v in enumerate(y)], "doc_id long, quality int")
+    x, y = np.array([quality.features(t.encode()) for t in texts]), np.array(y)
+    scale = x.std(axis=0)
+    scale[scale < 1e-9] = 1
+    z = np.clip((x - x.mean(axis=0)) / scale, -8, 8)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(len(w)), d.T @ p / len(d) - 1e-3 * w)
+    bracket = quality.BRACKET
+    try:
+        for quality.BRACKET in (bracket, 1):
+            model = quality.fit(docs, labels, held_out=False)
+            assert np.allclose(model.weights, w, atol=3e-3 * np.abs(w).max())
+            ranked = np.sort(model.strengths(x))
+            assert model.threshold == pytest.approx((ranked[(y == 0).sum() - 1] + ranked[(y == 0).sum()]) / 2, rel=1e-9)
+    finally:
+        quality.BRACKET = bracket
+
+
 def test_op9_label_bound_holds_for_rows(spark):
     """An id that stands for many rows brings no more of them to the driver than the bound."""
     docs = spark.createDataFrame([(1, f"good text number {i}") for i in range(300)] + [(2, "bad")], "doc_id long, text string")
