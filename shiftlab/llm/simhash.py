@@ -142,12 +142,13 @@ def _whole(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words))
 
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = BANDS, band_rows: int = BAND_ROWS, radius: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) of near copies with more edits than `near_duplicates` reaches: the components of the pairs of texts whose sets of shingles of `width` words have that Jaccard similarity.
 
     At a similarity of 0.8 fingerprints differ in ten of 64 bits on average, more than balls around segments can reach,
     so candidates are texts that agree in a MinHash band; all but 0.006 % of the pairs at 0.8 do, and more above it. Their exact Jaccard
-    similarity decides. Equal texts are collapsed before. Texts without words are equal. A null id takes the
+    similarity decides. With `radius` texts whose fingerprints differ in that many bits or fewer, by the same index as in `near_duplicates`,
+    are linked too, and components are those of both kinds of links. Equal texts are collapsed before. Texts without words are equal. A null id takes the
     component of an equal text with an id, NULL without one.
     """
     signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
@@ -165,7 +166,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int
             yield pa.RecordBatch.from_arrays([b.column(0), signed(fps), signed(wholes), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "whole", "bands"])
 
     rows = written(id_text(docs).mapInArrow(run, "doc_id long, fp long, whole long, bands array<long>"))
-    equal = cut(rows.groupBy("whole").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")).where("id is not null"))
+    equal = cut(rows.groupBy("whole").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).where("id is not null"))
     met = colliding(equal.select(F.explode("bands").alias("value"), F.col("whole").alias("hash")))
     going = equal.join(met.select(F.col("hash").alias("whole")).distinct(), "whole").select(F.col("whole").alias("of"), F.col("id").alias("doc_id"))
 
@@ -178,7 +179,15 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["hash", "shingles"])
 
     held = written(id_text(docs).join(going, "doc_id").select("text", "of").mapInArrow(sets, "hash long, shingles array<long>").dropDuplicates(["hash"]))
-    comps = connected_components(linked(met, held, similarity)).withColumnRenamed("id", "whole")
+    found = linked(met, held, similarity)
+    if radius is not None:
+        # of each fingerprint a text, of each component of fingerprints the texts
+        fps = cut(equal.groupBy("fp").agg(F.min("whole").alias("first")))
+        near = connected_components(links(fps.select("fp"), radius)).select(F.col("id").alias("fp"), "component")
+        heads = fps.join(near, "fp").select("first", "component").join(fps.select(F.col("fp").alias("component"), F.col("first").alias("head")), "component").select(F.col("first").alias("a"), F.col("head").alias("b"))
+        copies = equal.join(fps, "fp").where("whole != first").select(F.col("whole").alias("a"), F.col("first").alias("b"))
+        found = found.unionByName(heads).unionByName(copies)
+    comps = connected_components(found).withColumnRenamed("id", "whole")
     named = equal.join(comps, "whole", "left").select("whole", "id", F.coalesce("component", "whole").alias("component"))
     ids = named.join(named.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("whole", "component_id")
     return rows.join(ids, "whole", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -80,6 +80,24 @@ def test_all_pairs_at_the_similarity(spark):
     assert [got[i] for i in range(len(texts))] == want and far > 0
 
 
+def test_fingerprints_link_in_the_pipeline(spark):
+    """The stage keeps one of texts whose fingerprints differ in three bits or fewer, even where their Jaccard similarity is below 0.8, and equal ones."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 9)))
+    texts = []
+    while len(texts) < 6:
+        phrase, tail = [word() for _ in range(5)], [word() for _ in range(6)]
+        # one long run of a repeated phrase decides about the bits, distinct shingles at the end about the similarity
+        a, b = (" ".join(phrase * 60 + tail[: 6 - k] + [word() for _ in range(k + 6)]) for k in (0, 6))
+        x, y = (set(simhash.shingles(t.encode(), 5).tolist()) for t in (a, b))
+        if (simhash.fingerprint(a.encode(), 5) ^ simhash.fingerprint(b.encode(), 5)).bit_count() <= 3 and len(x & y) < 0.8 * len(x | y):
+            texts += [a, b]
+    texts += [" ".join(word() for _ in range(50)) for _ in range(4)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, SF).collect())
+    assert got == [0, 2, 4, 6, 7, 8, 9]
+
+
 def test_short_near_copies(spark):
     """Short texts with words appended, put in front or substituted are linked exactly where the similarity is 0.8."""
     rng = random.Random(7)
