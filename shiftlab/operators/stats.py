@@ -137,8 +137,12 @@ def _by_max(s: DataFrame) -> DataFrame:
     return s.withColumn("v", F.when(top == 0, F.col("v")).otherwise(F.try_divide("v", top)))
 
 
-def score_nonlinearity(grid: DataFrame, value: str, labels: DataFrame, times: DataFrame, cells: DataFrame | None = None, how: str = "mean", percentile: float | None = None, against_unclustered: bool = False) -> DataFrame:
-    """(cluster, score): root mean squared residual of the series divided by its maximum, and with `against_unclustered` over the mean of that of the min-max-scaled series of permanent noise."""
+def score_nonlinearity(grid: DataFrame, value: str, labels: DataFrame, times: DataFrame, cells: DataFrame | None = None, how: str = "mean", percentile: float | None = None, against_unclustered: bool = False, guarded: bool = True) -> DataFrame:
+    """(cluster, score): root mean squared residual of the series divided by its maximum, and with `against_unclustered` over the mean of that of the min-max-scaled series of permanent noise.
+
+    The mean is 1e-10 at least. With `guarded` (as published) constant series of noise are left out, and where none is left the score stays as it is.
+    Without it, as in the SQL of the registered query, constant series make the mean NaN, and a mean of no series counts as 1e-10.
+    """
     s = _by_max(_cluster_series(grid, value, labels, how, percentile).join(F.broadcast(times), "t_idx"))
     own = _linear(s, ["cluster"]).select("cluster", F.sqrt(F.try_divide("rss", "n")).alias("score"))
     if not against_unclustered:
@@ -146,9 +150,11 @@ def score_nonlinearity(grid: DataFrame, value: str, labels: DataFrame, times: Da
     w = Window.partitionBy("cell_id")
     noise = grid.join(permanent_noise(labels, cells), "cell_id", "left_semi").select("cell_id", "t_idx", clean(value).alias("v")).join(F.broadcast(times), "t_idx")
     low, high = F.min("v").over(w), F.max("v").over(w)
-    scaled = noise.withColumn("reach", high - low).withColumn("v", F.try_divide(F.col("v") - low, high - low)).where("reach > 0")
+    scaled = noise.withColumn("reach", high - low).withColumn("v", F.try_divide(F.col("v") - low, high - low))
+    scaled = scaled.where("reach > 0") if guarded else scaled.withColumn("v", F.when(F.col("reach") == 0, F.lit(float("nan"))).otherwise(F.col("v")))
     mean = _linear(scaled, ["cell_id"]).agg(F.avg(F.sqrt(F.try_divide("rss", "n"))).alias("noise"))
-    return own.crossJoin(F.broadcast(mean)).select("cluster", F.when(F.col("noise").isNull(), F.col("score")).otherwise(F.col("score") / F.greatest("noise", F.lit(1e-10))).alias("score"))
+    relative = F.col("score") / F.greatest("noise", F.lit(1e-10))  # greatest() passes over a null
+    return own.crossJoin(F.broadcast(mean)).select("cluster", (F.when(F.col("noise").isNull(), F.col("score")).otherwise(relative) if guarded else relative).alias("score"))
 
 
 def pair_correlations(grid: DataFrame, value: str, labels: DataFrame) -> DataFrame:
